@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -29,31 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import relational, workflows  # noqa: F401 - registers
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
-
-
-@query(
-    """SELECT CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_key, CAST(o_orderdate AS DATE) AS order_date, count(*) AS order_count,
-  count(DISTINCT o_custkey) AS customer_count, round(sum(o_totalprice), 2) AS total_price, round(avg(o_totalprice), 2) AS avg_price,
-  round(100.0 * count(*) FILTER (WHERE o_orderpriority = '1-URGENT') / count(*), 2) AS urgent_pct FROM orders GROUP BY ALL"""
-)
-def agg_daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per day: counts, distinct customers, value, share of urgent ones."""
-    day = F.to_date("o_orderdate")
-    urgent = F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0))
-    return (
-        table(spark, sf_dir, "orders")
-        .groupBy(day.alias("order_date"))
-        .agg(
-            F.count("*").alias("order_count"),
-            F.countDistinct("o_custkey").alias("customer_count"),
-            F.round(F.sum("o_totalprice"), 2).alias("total_price"),
-            F.round(F.avg("o_totalprice"), 2).alias("avg_price"),
-            F.round(100.0 * urgent / F.count("*"), 2).alias("urgent_pct"),
-        )
-        .withColumn("date_key", F.date_format("order_date", "yyyyMMdd").cast("int"))
-    )
