@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stratum.session import normal_location, quote_ident, quote_lit
@@ -19,7 +21,7 @@ def location_of(spark: SparkSession, table: str) -> str | None:
 
 
 def _same(a: str, b: str) -> bool:
-    plain = lambda x: normal_location(x).removeprefix("file:").replace("//", "/")
+    plain = lambda x: re.sub(r"^file:/+", "/", normal_location(x))
     return plain(a) == plain(b)
 
 
