@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Pieces of up to this many characters are memoised, in two generations of so
 #: many entries; pairs of tokens, in so many.
@@ -229,7 +230,7 @@ def encode(docs: DataFrame, *, path: str, pattern: str, text: str = "text") -> D
     """The input with ``ids array<int>`` added: null text gives an empty array."""
     if "ids" in docs.columns:
         raise ValueError("the input already has a column ids")
-    schema = docs.select("*").schema.add("ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,7 @@ def encode(docs: DataFrame, *, path: str, pattern: str, text: str = "text") -> D
 
 def decode(rows: DataFrame, *, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The input with binary ``out`` added; null ids give null."""
-    schema = rows.select("*").schema.add(out, "binary")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())])
     place = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

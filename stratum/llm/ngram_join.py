@@ -259,8 +259,11 @@ def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     Texts that are null, empty or without words link with nothing. A document
     is a distinct (doc_id, shingle set): rows repeated in both count once. Rows
     with a null doc_id link with nothing and have a null class_id. An empty
-    table gives no rows. Other columns are ignored.
+    table gives no rows. Other columns are ignored. Bands and pruning are laid
+    out for THRESHOLD; a higher one may be asked for, a lower one not.
     """
+    if not THRESHOLD <= threshold <= 1:
+        raise ValueError(f"threshold {threshold} is not between {THRESHOLD} and 1")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
