@@ -1,7 +1,5 @@
 """Every catalogue query with an oracle gives the oracle's rows."""
 
-import math
-
 import duckdb
 import pandas as pd
 import pytest
@@ -22,7 +20,7 @@ def duck(sf):
 
 def plain(df):
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if pd.isna(v):
             return "null"
         return f"{v:.6g}" if isinstance(v, float) else str(v).replace(" 00:00:00", "")
 
