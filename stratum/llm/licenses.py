@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS, CONTAINMENT, BANDS = 5, 0.8, 64
-#: Characters of all templates up to which they are shipped with the plan.
-MAX_TEMPLATE_CHARS = 4 << 20
+#: Templates, and characters of all of them, up to which they are shipped with the plan.
+MAX_TEMPLATES, MAX_TEMPLATE_CHARS = 2_000, 2 << 20
 
 #: Public license notices, by SPDX identifier.
 TEMPLATES = [
@@ -67,8 +67,8 @@ def _starts(hits: str, c: int) -> Column:
 
 def check_templates(templates: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
     """(template number, license, text); raises on too much text or an empty template."""
-    if sum(len(t) for _, t in templates) > MAX_TEMPLATE_CHARS:
-        raise ValueError(f"templates have more than {MAX_TEMPLATE_CHARS} characters")
+    if len(templates) > MAX_TEMPLATES or sum(len(t or "") for _, t in templates) > MAX_TEMPLATE_CHARS:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates or {MAX_TEMPLATE_CHARS} characters")
     for name, text in templates:
         if not name or not text or not re.search(r"\w", text):
             raise ValueError(f"template of {name!r} has no words")
