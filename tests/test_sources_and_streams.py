@@ -120,3 +120,37 @@ def test_enrich_messages_and_rate_limit(spark, base):
     q = streams.append_to(streams.enrich(df, static, "k"), f"file://{base}/out", f"file://{base}/cp")
     assert spark.read.parquet(f"file://{base}/out").filter("reference_matched").count() == 1
     assert streams.progress_rows(spark, q, "q").filter("input_rows > 0").count() == 3
+
+
+def test_upsert_each_batch_bears_a_replay(spark, base):
+    t = VersionedTable(spark, f"file://{base}/t")
+    t.overwrite(spark.createDataFrame([(1, 1)], "k bigint, n bigint"))
+    drop(base / "in", "a.json", [{"k": 1, "n": 2}, {"k": 2, "n": 3}])
+    for checkpoint in ("cp1", "cp2"):
+        df = streams.file_stream(spark, f"file://{base}/in", "k bigint, n bigint")
+        streams.upsert_each_batch(df, lambda batch: t.merge(batch, keys=["k"]), f"file://{base}/{checkpoint}")
+    assert sorted((r.k, r.n) for r in t.read().collect()) == [(1, 2), (2, 3)]
+
+
+def test_rate_limit_grid(spark, base):
+    for i in range(4):
+        drop(base / "in", f"{i}.json", [{"k": i}])
+
+    def run(n):
+        return streams.append_to(streams.file_stream(spark, f"file://{base}/in", "k bigint", max_files=n), f"file://{base}/out{n}", f"file://{base}/cp{n}")
+
+    got = {r.max_files: (r.batches, r.rows) for r in streams.benchmark(run, [1, 2, 4], spark).collect()}
+    assert got == {1: (4, 4), 2: (2, 4), 4: (1, 4)}
+
+
+def test_windows_triggers_and_table_stream(spark, base):
+    assert streams.trigger_of("once") == {"once": True} and streams.trigger_of("5 seconds") == {"processingTime": "5 seconds"}
+    drop(base / "in", "a.json", [{"k": "a", "at": "2024-01-01T00:00:10Z"}, {"k": "a", "at": "2024-01-01T00:00:50Z"}, {"k": "b", "at": "2024-01-05T00:00:00Z"}])
+    drop(base / "in", "b.json", [{"k": "z", "at": "2024-01-09T00:00:00Z"}])
+    df = streams.file_stream(spark, f"file://{base}/in", "k string, at timestamp", max_files=1)
+    streams.append_to(df, f"file://{base}/copy", f"file://{base}/cp0")
+    again = streams.table_stream(spark, f"file://{base}/copy", df.schema)
+    q = streams.append_to(streams.windowed_counts(again, event_time="at", by=["k"], size="1 minute"), f"file://{base}/out", f"file://{base}/cp1")
+    assert {(r.k, r.events) for r in spark.read.parquet(f"file://{base}/out").collect()} >= {("a", 2)}
+    assert streams.status(q)["active"] is False
+    streams.stop(q)
