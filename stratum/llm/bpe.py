@@ -23,9 +23,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import arrow_map
+
 #: Pieces of up to this many characters are memoised, in two generations of so
 #: many entries; pairs of tokens, in so many.
-MEMO_CHARS, MEMO_ENTRIES, PAIR_ENTRIES = 32, 200_000, 500_000
+MEMO_CHARS, MEMO_ENTRIES, PAIR_ENTRIES = 32, 120_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -187,6 +189,12 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(ids for ids, _ in self.pieces(text)))
 
+    def forget(self) -> None:
+        """Empty the memos, which outlive a task with the worker."""
+        self.memo.clear()
+        self.memo.old = {}
+        self.pairs.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -221,9 +229,10 @@ def digest(docs: DataFrame, *, path: str, pattern: str, text: str = "text", doc_
                 ids_hash.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
                 text_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(source, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, *, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -238,8 +247,9 @@ def encode(docs: DataFrame, *, path: str, pattern: str, text: str = "text") -> D
         for batch in batches:
             ids = [bpe.encode(t.as_py() or "") for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+        bpe.forget()
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def decode(rows: DataFrame, *, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -253,7 +263,7 @@ def decode(rows: DataFrame, *, path: str, pattern: str, ids: str = "ids", out: s
             raw = [None if x.as_py() is None else bpe.decode(x.as_py()) for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ grouping and connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,40 @@ class Scratch:
             self._remove(f"{self.root}/{name}")
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session says nothing.
+BATCH_BYTES = 8 << 20
+
+
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the system.
+
+    Workers live on for other tasks; what one operator held would count
+    against the next one's.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes, as rows may hold very long
+    texts, and workers that shrink when a task ends."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Split key-sorted Arrow batches into one table per key."""
     held: list[pa.Table] = []

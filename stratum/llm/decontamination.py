@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Characters of an item for each edit allowed, and of the shortest item looked for.
 CHARS_PER_EDIT, MIN_CHARS = 20, 32
 #: Bytes of items looked for in one pass over the documents.
@@ -165,7 +167,7 @@ def matches(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: st
                 cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "error_budget"])
 
-        part = source.mapInArrow(run, "doc_id long, item_id long, distance long, error_budget long")
+        part = arrow_map(source, run, "doc_id long, item_id long, distance long, error_budget long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -186,7 +188,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text"
                 clean = [t.as_py() is None or not matcher.find(normal(t.as_py())) for t in batch.column(place)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = arrow_map(out, run, docs.schema)
     return out
 
 

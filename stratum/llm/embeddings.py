@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, forest, groups, small_side
+from .common import Scratch, arrow_map, connected_components, forest, groups, small_side
 
 THRESHOLD = 0.98
 #: Vectors for each centre, at most so many centres in all, vectors of a block.
@@ -132,7 +132,7 @@ def similar(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     scratch = Scratch(spark, "vectors")
     ways = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[label].cast("string").alias("label"), vectors[embedding].alias("vec"))
-    coded = scratch.save(source.mapInArrow(_encode, "vec_id long, space string, digest binary, raw binary, wide boolean"), "coded")
+    coded = scratch.save(arrow_map(source, _encode, "vec_id long, space string, digest binary, raw binary, wide boolean"), "coded")
     valid = coded.filter("digest IS NOT NULL AND vec_id IS NOT NULL")
     members = valid.select("vec_id", "digest").distinct()
     named = scratch.save(members.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
@@ -180,7 +180,7 @@ def similar(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
             cells = pa.array([[{"cell": c, "d": d} for c, d in x] for x in reach], pa.list_(pa.struct([("cell", pa.int32()), ("d", pa.float64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(near), cells], names=[*batch.schema.names, "cell", "near", "reach"])
 
-    placed = scratch.save(classes.mapInArrow(assign, "rep long, weight long, space string, raw binary, wide boolean, node long, cell int, near double, reach array<struct<cell:int,d:double>>"), "placed")
+    placed = scratch.save(arrow_map(classes, assign, "rep long, weight long, space string, raw binary, wide boolean, node long, cell int, near double, reach array<struct<cell:int,d:double>>"), "placed")
     stats = placed.groupBy(F.col("space").alias("sp"), F.col("cell").alias("to")).agg(F.count("*").alias("n"), F.max("near").alias("radius"))
     g = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("n") / 64), F.lit(16))).cast("int")
     stats = scratch.save(stats.select("sp", "to", "radius", g.alias("g")), "stats")
@@ -221,7 +221,7 @@ def similar(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
             y = [*links[some].tolist(), *[int(node[q]) for _, q in edges]]
             yield pa.RecordBatch.from_pydict({"edge": pa.array(kind, pa.bool_()), "a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
-    linked = scratch.save(visits.repartition(4 * ways, "pair").sortWithinPartitions("pair").mapInArrow(link, "edge boolean, a long, b long"), "linked")
+    linked = scratch.save(arrow_map(visits.repartition(4 * ways, "pair").sortWithinPartitions("pair"), link, "edge boolean, a long, b long"), "linked")
     counts = linked.filter("NOT edge").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = connected_components(scratch, linked.filter("edge").select("a", "b"), "link")
     # Components by node; their smallest vec_id names them.

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Dimensions of the vectors.
 DIMENSIONS = 1024
 #: Trigram vectors a worker keeps (one byte a dimension), as a bound on memory.
@@ -132,7 +134,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", dims: int
             yield pa.RecordBatch.from_pydict({"lang": list(total), "vec": [v.tolist() for v in total.values()]}, schema=schema)
 
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    parts = labelled.mapInArrow(count, "lang string, vec array<double>")
+    parts = arrow_map(labelled, count, "lang string, vec array<double>")
     rows = parts.select("lang", F.posexplode("vec")).groupBy("lang", "pos").agg(F.sum("col").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("vec")).collect()
     out = {}
     for r in sorted(rows, key=lambda r: r["lang"]):
@@ -175,7 +177,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "
                     lang[i], score[i] = names[b], min(1.0, max(0.0, s))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(judge, schema)
+    return arrow_map(source, judge, schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, forest, groups, small_side
+from .common import Scratch, arrow_map, connected_components, forest, groups, small_side
 
 WORDS, THRESHOLD = 5, 0.8
 #: 25 bands of 4: a pair at 0.8 shares a band with probability 1 - 2e-6.
@@ -268,7 +268,7 @@ def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     scratch = Scratch(spark, "ngrams")
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     usable = source.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketch = scratch.save(usable.mapInArrow(_sketch, "doc_id long, digest binary, sig binary"), "sketch")
+    sketch = scratch.save(arrow_map(usable, _sketch, "doc_id long, digest binary, sig binary"), "sketch")
     mine = sketch.filter("digest IS NOT NULL")
     members = mine.select("doc_id", "digest").distinct()
     named = members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
@@ -276,7 +276,7 @@ def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     # One row of a class has the smallest id; repeated rows have the same values.
     classes = scratch.save(mine.join(named, [mine["digest"] == named["digest"], mine["doc_id"] == named["rep"]]).select("rep", "weight", "sig").dropDuplicates(["rep", "weight"]), "signatures")
 
-    bands = classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
+    bands = arrow_map(classes.select("rep", "sig"), _keys, "key long, rep long")
     buckets = scratch.save(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("n > 1"), "buckets")
     # Buckets of the same texts are one.
     once = scratch.save(buckets.groupBy("n", "lo", "who").agg(F.min("key").alias("key")).drop("who"), "once")
@@ -284,12 +284,12 @@ def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     star = found.filter(f"n > {BUCKET}").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
     ways = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = found.filter(f"n <= {BUCKET}").join(classes.select("rep", "sig"), "rep").select("key", "rep", "sig")
-    pruned = packed.repartition(ways, "key").sortWithinPartitions("key").mapInArrow(_bucket_forest, "a long, b long")
+    pruned = arrow_map(packed.repartition(ways, "key").sortWithinPartitions("key"), _bucket_forest, "a long, b long")
     comps = scratch.save(connected_components(scratch, star.unionByName(pruned), "near").withColumnRenamed("root", "comp"), "comps")
 
     dealt = comps.join(classes.select(F.col("rep").alias("node"), "weight"), "node").select(F.col("node").alias("rep"), "comp", "weight")
     dealt = scratch.save(dealt, "dealt")
-    sets = usable.join(small_side(dealt), F.col("doc_id") == F.col("rep")).select("rep", "comp", "weight", "text").mapInArrow(_whole_sets, "rep long, comp long, weight long, n long, shingles binary, sig binary")
+    sets = arrow_map(usable.join(small_side(dealt), F.col("doc_id") == F.col("rep")).select("rep", "comp", "weight", "text"), _whole_sets, "rep long, comp long, weight long, n long, shingles binary, sig binary")
     sets = scratch.save(sets.dropDuplicates(["rep", "n"]), "sets")
     per = sets.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
     g = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.least(F.ceil(F.col("rows") / 64), F.lit(SPREAD)))
@@ -297,7 +297,7 @@ def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     # In a group of g blocks a row goes to g tasks: its own block, and once with each other.
     placed = sets.join(small_side(per), "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     placed = placed.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "weight", "shingles", "sig")
-    linked = placed.repartition(4 * ways, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_block_links(threshold), "edge boolean, a long, b long")
+    linked = arrow_map(placed.repartition(4 * ways, "comp", "i", "j").sortWithinPartitions("comp", "i", "j"), _block_links(threshold), "edge boolean, a long, b long")
     linked = scratch.save(linked, "linked")
     counts = linked.filter("NOT edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     roots = connected_components(scratch, linked.filter("edge").select("a", "b"), "link").withColumnRenamed("node", "rep")

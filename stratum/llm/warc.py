@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_side
+from .common import Scratch, arrow_map, small_side
 
 #: Payloads of fewer bytes are never turned into revisits.
 MIN_REVISIT_BYTES = 0
@@ -105,7 +105,7 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
                 body.append(squeeze(b))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.string()), pa.array(size, pa.int64()), pa.array(body, pa.binary())], names=["page_id", "sha256", "size", "body"])
 
-    bodies = pages.select(pages[page_id].cast("long").alias("page_id"), raw.alias("raw")).mapInArrow(compress, "page_id long, sha256 string, size long, body binary")
+    bodies = arrow_map(pages.select(pages[page_id].cast("long").alias("page_id"), raw.alias("raw")), compress, "page_id long, sha256 string, size long, body binary")
     n = owners.count()
     key = owners.select(F.col("sha256").alias("k"), "owner")
     mine = bodies.join(small_side(key, 4 * n), (F.col("sha256") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("owner"))).select("sha256", "size", "body")
@@ -125,7 +125,7 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
             yield pa.RecordBatch.from_arrays([batch.column("sha256"), pa.array(out, pa.binary())], names=["sha256", "header"])
 
     owned = facts.join(owners.select("sha256", "owner"), "sha256").select("page_id", "url", "sha1", "sha256", "size", "owner")
-    owned.mapInArrow(head, "sha256 string, header binary").write.parquet(f"{path}/headers")
+    arrow_map(owned, head, "sha256 string, header binary").write.parquet(f"{path}/headers")
     scratch.drop("facts", "owners")
 
 
@@ -160,8 +160,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("sha256"), *cols], names=["sha256", "page_id", "record_type", "refers_to", "stated"])
 
     scratch = Scratch(spark, "warc-read")
-    payloads = scratch.save(spark.read.parquet(f"{path}/payloads").mapInArrow(verify, "sha256 string, payload_digest string, payload_bytes long"), "verified")
-    headers = spark.read.parquet(f"{path}/headers").select("sha256", "header").mapInArrow(parse, "sha256 string, page_id long, record_type string, refers_to long, stated string")
+    payloads = scratch.save(arrow_map(spark.read.parquet(f"{path}/payloads"), verify, "sha256 string, payload_digest string, payload_bytes long"), "verified")
+    headers = arrow_map(spark.read.parquet(f"{path}/headers").select("sha256", "header"), parse, "sha256 string, page_id long, record_type string, refers_to long, stated string")
     good = F.when(F.col("stated") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header states another payload digest")).cast("string"))
     return headers.join(payloads, "sha256").select("page_id", "payload_bytes", good.alias("payload_digest"), "record_type", "refers_to")
 
@@ -187,7 +187,7 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(records, pa.binary()), pa.array(payloads, pa.binary())], names=["page_id", "record", "payload"])
 
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    return headers.join(payloads.select("sha256", "body"), "sha256").select("sha256", "header", "body").mapInArrow(build, "page_id long, record binary, payload binary")
+    return arrow_map(headers.join(payloads.select("sha256", "body"), "sha256").select("sha256", "header", "body"), build, "page_id long, record binary, payload binary")
 
 
 def write_files(records: DataFrame, path: str, *, per_file: int = 20_000) -> None:
@@ -217,7 +217,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "record_type", "refers_to", "payload"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(parse, "page_id long, record_type string, refers_to long, payload binary")
+    return arrow_map(files, parse, "page_id long, record_type string, refers_to long, payload binary")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
