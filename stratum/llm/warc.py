@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, small_side
+from .common import BROADCAST_ROWS, Scratch, arrow_map
 
 #: Payloads of fewer bytes are never turned into revisits.
 MIN_REVISIT_BYTES = 0
@@ -92,7 +92,9 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
     scratch = Scratch(pages.sparkSession, "warc")
     raw = F.coalesce(pages[html], F.lit("")).cast("binary")
     facts = scratch.save(pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"), F.upper(F.sha1(raw)).alias("sha1"), F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("size")), "facts")
-    owners = scratch.save(facts.groupBy("sha256").agg(F.max("page_id").alias("owner"), F.max("size").alias("bytes")), "owners")
+    rows = facts.groupBy("sha256", "page_id").agg(F.count("*").alias("copies"))
+    owners = rows.groupBy("sha256").agg(F.max(F.struct("page_id", "copies")).alias("o")).select("sha256", F.col("o.page_id").alias("owner"), F.col("o.copies").alias("copies"))
+    owners = scratch.save(owners, "owners")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -106,12 +108,14 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.string()), pa.array(size, pa.int64()), pa.array(body, pa.binary())], names=["page_id", "sha256", "size", "body"])
 
     bodies = arrow_map(pages.select(pages[page_id].cast("long").alias("page_id"), raw.alias("raw")), compress, "page_id long, sha256 string, size long, body binary")
-    n = owners.count()
-    key = owners.select(F.col("sha256").alias("k"), "owner")
-    mine = bodies.join(small_side(key, 4 * n), (F.col("sha256") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("owner"))).select("sha256", "size", "body")
-    # A repeated row of the owner would store its payload again.
-    twice = facts.join(small_side(owners, n), (facts["sha256"] == owners["sha256"]) & facts["page_id"].eqNullSafe(owners["owner"])).groupBy(facts["sha256"]).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if twice:
+    if owners.count() <= BROADCAST_ROWS:  # few enough for one 64-bit key each
+        key = F.broadcast(owners.select(F.xxhash64("owner", "sha256").alias("k")))
+        mine = bodies.join(key, F.xxhash64("page_id", "sha256") == F.col("k"), "left_semi")
+    else:
+        key = owners.select(F.col("sha256").alias("k"), "owner")
+        mine = bodies.join(key, (F.col("sha256") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("owner")))
+    mine = mine.select("sha256", "size", "body")
+    if owners.filter("copies > 1").limit(1).count():  # a repeated row would store its payload again
         mine = mine.dropDuplicates(["sha256"])
     mine.write.option("compression", "none").parquet(f"{path}/payloads")
 
