@@ -182,8 +182,8 @@ def similar(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
 
     placed = scratch.save(arrow_map(classes, assign, "rep long, weight long, space string, raw binary, wide boolean, node long, cell int, near double, reach array<struct<cell:int,d:double>>"), "placed")
     stats = placed.groupBy(F.col("space").alias("sp"), F.col("cell").alias("to")).agg(F.count("*").alias("n"), F.max("near").alias("radius"))
-    g = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("n") / 64), F.lit(16))).cast("int")
-    stats = scratch.save(stats.select("sp", "to", "radius", g.alias("g")), "stats")
+    # Smaller blocks would even out tasks, but each row visits every block in reach.
+    stats = scratch.save(stats.select("sp", "to", "radius", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "stats")
     # A row for each centre and for each label without one.
     cells = small_side(stats)
     home = placed.join(cells.select("sp", "to", F.col("g").alias("own")), (F.col("space") == F.col("sp")) & (F.col("cell") == F.col("to"))).drop("sp", "to").withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
@@ -221,7 +221,7 @@ def similar(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
             y = [*links[some].tolist(), *[int(node[q]) for _, q in edges]]
             yield pa.RecordBatch.from_pydict({"edge": pa.array(kind, pa.bool_()), "a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
-    linked = scratch.save(arrow_map(visits.repartition(4 * ways, "pair").sortWithinPartitions("pair"), link, "edge boolean, a long, b long"), "linked")
+    linked = scratch.save(arrow_map(visits.repartition(ways, "pair").sortWithinPartitions("pair"), link, "edge boolean, a long, b long"), "linked")
     counts = linked.filter("NOT edge").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = connected_components(scratch, linked.filter("edge").select("a", "b"), "link")
     # Components by node; their smallest vec_id names them.
