@@ -297,7 +297,7 @@ def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     # In a group of g blocks a row goes to g tasks: its own block, and once with each other.
     placed = sets.join(small_side(per), "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     placed = placed.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "weight", "shingles", "sig")
-    linked = arrow_map(placed.repartition(4 * ways, "comp", "i", "j").sortWithinPartitions("comp", "i", "j"), _block_links(threshold), "edge boolean, a long, b long")
+    linked = arrow_map(placed.repartition(ways, "comp", "i", "j").sortWithinPartitions("comp", "i", "j"), _block_links(threshold), "edge boolean, a long, b long")
     linked = scratch.save(linked, "linked")
     counts = linked.filter("NOT edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     roots = connected_components(scratch, linked.filter("edge").select("a", "b"), "link").withColumnRenamed("node", "rep")
