@@ -8,14 +8,18 @@ template with Jaccard similarity 0.19 (four fifths of a template just above
 half of its class) meets its window with probability above 1 - 2e-6. What the
 bands retrieve is verified by exact containment of the template's shingles.
 
-Windows without any template's shingle cannot share a MinHash value with one;
-they are left out before the bands are computed. Only DataFrame functions are
-used.
+Windows with fewer shingles of the templates of their class than the smallest
+of these needs cannot contain one; they are left out before the bands are
+computed. Only DataFrame functions are used.
+
+Licenses that share most of their words are told apart by the words that only
+one of them has.
 """
 
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,41 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 
+#: Part of a template in another license's texts from which the two are told apart,
+#: the part of its own shingles that settles it, and the part of it that they may be
+#: where none of them needs to be there.
+NEIGHBOUR, OWN, SLIGHT = 0.6, 0.5, 0.1
+
+_GRANT = "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} General Public License"
+_WARRANTY = "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details. You should have received a copy of the GNU {name} General Public License along with this {what}"
+_ENDS = [". If not, see <https://www.gnu.org/licenses/>.", "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."]
+_FREE = [("GPL", "program", "", ["1", "2", "3"]), ("LGPL", "library", "Library", ["2"]), ("LGPL", "library", "Lesser", ["2.1", "3"]), ("AGPL", "program", "Affero", ["3"])]
+
+
+def notices() -> list[tuple[str, str]]:
+    """(license, text) of the standard notices that name a license without its text."""
+    out = [(name, text) for name, text in TEMPLATES if name != "BSD-3-Clause" and not text.startswith(("Permission is", "This program is"))]
+    for short, what, name, versions in _FREE:
+        for v in versions:
+            grant, spdx = _GRANT.format(what=what, name=name), f"{short}-{v if '.' in v else v + '.0'}"
+            by = "as published by the Free Software Foundation"
+            later = f"{grant} {by}; either version {v} of the License, or (at your option) any later version."
+            out.append((f"{spdx}-or-later", later))
+            # The whole notice as well: the rest of it speaks for no text that quotes it.
+            out += [(f"{spdx}-or-later", f"{later} {_WARRANTY.format(what=what, name=name)}{end}") for end in _ENDS]
+            out.append((f"{spdx}-only", f"{grant} {by}; version {v} of the License."))
+            out.append((f"{spdx}-only", f"{grant} version {v} {by}."))
+            out.append((f"{spdx}-only", f"This work is licensed under the GNU {name} General Public License, version {v}."))
+    for v in ("1.0", "2.0"):
+        out.append((f"EPL-{v}", f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {'v1.0 which accompanies this distribution, and' if v == '1.0' else '2.0 which'} is available at"))
+    return list(dict.fromkeys(out))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of the whole licenses beside this module, in files named by SPDX
+    identifier; what follows the terms of a license is in a file of its own."""
+    return [(f.name.removesuffix(".txt").removesuffix(".appendix"), f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -57,9 +96,10 @@ def _minhash(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, k))))
 
 
-def _starts(hits: str, c: int) -> Column:
+def _starts(marks: str, c: int) -> Column:
     """The windows of class c that hold a hit: two for each hit, at L * (p // L) and L before."""
     size = 1 << c
+    hits = F.filter(F.transform(marks, lambda m, i: F.when(m.bitwiseAND(size) != 0, i)), lambda i: i.isNotNull())
     around = F.transform(hits, lambda p: F.array(F.shiftright(p, c) - 1, F.shiftright(p, c)))
     inside = F.filter(F.array_distinct(F.flatten(around)), lambda n: n >= 0)
     return F.transform(inside, lambda n: F.struct(F.lit(c).alias("c"), (n * size).alias("first"), F.lit(2 * size).alias("size")))
@@ -75,7 +115,48 @@ def check_templates(templates: list[tuple[str, str]]) -> list[tuple[int, str, st
     return [(i, name, text) for i, (name, text) in enumerate(templates)]
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, text: str = "text", doc_id: str = "doc_id", containment: float = CONTAINMENT) -> DataFrame:
+def _marks(shingles: str, wanted: dict[int, set[int]]) -> Column:
+    """For each shingle the classes with a template that has it, as bits.
+
+    As SQL text: a column for each of very many values would be slow to make.
+    """
+    known = lambda some: ",".join(f"{h}L" for h in sorted(some))
+    bits = " + ".join(f"IF(h IN ({known(w)}), {1 << c}, 0)" for c, w in sorted(wanted.items()))
+    return F.expr(f"transform({shingles}, h -> IF(h IN ({known(set().union(*wanted.values()))}), {bits}, 0))")
+
+
+def _rivals(rows: list) -> dict[int, list[tuple[list[int], list[int], bool]]]:
+    """For each template (own, other, slight) of each template of another license that
+    has most of its shingles: what the other has not, what the other has beyond the
+    template and its license's templates, and whether the former is slight and less
+    than the latter. Templates that quote the other for the most part are not taken
+    off from it."""
+    sets = [(r["template"], r["license"], set(r["want"])) for r in rows]
+    out: dict[int, list[tuple[list[int], list[int], bool]]] = {}
+    for k, name, want in sets:
+        out[k] = []
+        for _, theirs, near in sets:
+            if theirs != name and len(want & near) >= NEIGHBOUR * len(want):
+                mine = want.union(*(t for _, n, t in sets if n == name and len(t & near) < NEIGHBOUR * len(near)))
+                own, other = want - near, near - mine
+                out[k].append((sorted(own), sorted(other), len(own) <= min(SLIGHT * len(want), len(other) - 1)))
+    return out
+
+
+def _stands(have: str, rivals: str) -> Column:
+    """Whether a window speaks for the template against each of its rivals."""
+
+    def part(some: Column) -> Column:
+        return F.when(F.size(some) == 0, 0.0).otherwise(F.size(F.array_intersect(have, some)) / F.size(some))
+
+    def one(r: Column) -> Column:
+        own, other = part(r["own"]), part(r["other"])
+        return (own >= OWN) | (own > other) | ((own == other) & (r["slight"] | (own > 0)))
+
+    return F.forall(rivals, one)
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, text: str = "text", doc_id: str = "doc_id", containment: float = CONTAINMENT, apart: bool = False) -> DataFrame:
     """doc_id, license, containment, template, first_word, n_words of what is found.
 
     A row for each distinct (doc_id, license): its template of the largest
@@ -84,6 +165,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, text:
     where the window starts, ``n_words`` the words of the text. Null and empty
     texts hold nothing; repeated rows count once; a null doc_id is kept. No
     templates or no rows: no result.
+
+    With ``apart``, a template that is for the most part in another license too
+    needs half of the shingles that the other has not, or a larger share of
+    them than the window has of the other's own; if the window has neither
+    side's, the smaller of the two counts, unless it lacks a tenth by that.
     """
     spark = docs.sparkSession
     numbered = check_templates(templates)
@@ -92,26 +178,34 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, text:
     known = spark.createDataFrame(numbered, "template int, license string, text string").withColumn("want", F.array_distinct(_shingles(F.col("text"))))
     known = known.withColumn("c", F.ceil(F.log2(F.size("want").cast("double"))).cast("int")).drop("text")
     rows = [r for r in known.collect() if r["want"]]
-    vocabulary = sorted({h for r in rows for h in r["want"]})
-    classes = sorted({r["c"] for r in rows})
-    known = spark.createDataFrame(rows, known.schema)
+    wanted: dict[int, set[int]] = {}
+    for r in rows:
+        wanted.setdefault(r["c"], set()).update(r["want"])
+    # Fewer hits than this hold no template of the class; a shingle may be hit repeatedly.
+    least = {c: max(1, int(containment * min(len(r["want"]) for r in rows if r["c"] == c))) for c in wanted}
+    rivals = _rivals(rows) if apart else {}
+    known = spark.createDataFrame([(*r, rivals.get(r["template"], [])) for r in rows], "template int, license string, want array<long>, c int, rivals array<struct<own: array<long>, other: array<long>, slight: boolean>>", verifySchema=False)
     keyed = known.select("template", "c", F.posexplode(_minhash(F.col("want"))).alias("band", "low"))
 
     source = docs.filter(docs[text].isNotNull()).select(docs[doc_id].alias("doc_id"), _shingles(docs[text]).alias("s"))
-    hits = F.filter(F.transform("s", lambda h, i: F.when(h.isin(vocabulary), i)), lambda i: i.isNotNull())
-    some = source.withColumn("hits", hits).filter(F.size("hits") > 0)
+    some = source.withColumn("marks", _marks("s", wanted)).filter(F.exists("marks", lambda m: m != 0))
     # The windows of class c that hold position p start at L*(p // L) and L before.
-    windows = some.select("doc_id", "s", F.explode(F.flatten(F.array(*[_starts("hits", c) for c in classes]))).alias("w"))
-    windows = windows.select("doc_id", F.col("w.c").alias("c"), F.col("w.first").alias("first"), F.size("s").alias("total"), F.array_distinct(F.slice("s", F.col("w.first") + 1, F.col("w.size"))).alias("have"))
+    windows = some.select("doc_id", "s", "marks", F.explode(F.flatten(F.array(*[_starts("marks", c) for c in wanted]))).alias("w"))
+    windows = windows.select("doc_id", "s", "marks", F.col("w.c").alias("c"), F.col("w.first").alias("first"), F.col("w.size").alias("size"))
+    bit, need = F.expr("shiftleft(1, c)"), F.coalesce(*[F.when(F.col("c") == c, n) for c, n in least.items()])
+    windows = windows.filter(F.size(F.filter(F.slice("marks", F.col("first") + 1, F.col("size")), lambda m: m.bitwiseAND(bit) != 0)) >= need)
+    windows = windows.select("doc_id", "c", "first", F.size("s").alias("total"), F.array_distinct(F.slice("s", F.col("first") + 1, F.col("size"))).alias("have"))
     banded = windows.select("doc_id", "c", "first", "total", "have", F.posexplode(_minhash(F.col("have"))).alias("band", "low"))
     met = banded.join(F.broadcast(keyed), ["c", "band", "low"]).select("doc_id", "c", "first", "total", "have", "template").distinct()
     share = F.size(F.array_intersect("have", "want")) / F.size("want")
     kept = met.join(F.broadcast(known.drop("c")), "template").withColumn("containment", share).filter(F.col("containment") >= containment)
+    if apart:
+        kept = kept.filter(_stands("have", "rivals"))
     rank = F.struct("containment", F.size("want").alias("size"), (-F.col("template")).alias("t"), (-F.col("first")).alias("f"))
     best = kept.groupBy("doc_id", "license").agg(F.max(rank).alias("b"), F.max("total").alias("total"))
     return best.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.t")).alias("template"), (-F.col("b.f")).cast("int").alias("first_word"), (F.col("total") + WORDS - 1).cast("int").alias("n_words"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The licenses found in every document."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """The licenses found in every document, by whole texts and standard notices."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), full_texts() + notices(), apart=True)

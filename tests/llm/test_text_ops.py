@@ -69,6 +69,37 @@ def test_licenses_edges(spark):
         licenses.scan(same, [("x", "y" * (licenses.MAX_TEMPLATE_CHARS + 1))])
 
 
+def test_licenses_query_tells_neighbours_apart(spark, tmp_path):
+    rng = random.Random(6)
+    known = licenses.full_texts() + licenses.notices()
+    whole = dict(licenses.full_texts()[::-1])
+    assert {"BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "Unlicense"} <= set(whole)
+    noise = lambda: " ".join(words(rng, rng.randrange(400)))
+    rows = [(k, f"{noise()} {t} {noise()}", name) for k, (name, t) in enumerate(known)]
+    # With the appendix, which quotes a notice; with edits; after another license.
+    join = {}
+    for name, t in licenses.full_texts():
+        join[name] = f"{join.get(name, '')} {t}"
+    rows += [(1000 + k, t, name) for k, (name, t) in enumerate(sorted(join.items()))]
+    for k, (name, t) in enumerate(known):
+        w = t.split()
+        if len(w) > 150:
+            for i in rng.sample(range(len(w)), len(w) // 100):
+                w[i] = "edited"
+            rows.append((2000 + k, " ".join(w), name))
+    numbered = whole["BSD-3-Clause"].replace("* Redistributions of", "1. Redistributions of").replace("* Redistributions in", "2. Redistributions in").replace("* Neither the name of the copyright holder", "3. Neither the name of Example Inc.")
+    rows += [(3000, numbered, "BSD-3-Clause"), (3001, whole["BSD-2-Clause"].replace("distribution.", "distribution. See the file AUTHORS."), "BSD-2-Clause")]
+    for k, (what, name, v, spdx) in enumerate([("program", "", "2", "GPL-2.0"), ("program", "", "3", "GPL-3.0"), ("program", "Affero", "3", "AGPL-3.0"), ("program", "Lesser", "3", "LGPL-3.0"), ("library", "Lesser", "2.1", "LGPL-2.1")]):
+        text = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details."
+        rows.append((4000 + k, text, f"{spdx}-or-later"))
+    spark.createDataFrame(rows, "doc_id long, text string, name string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in licenses.op1_license_scan(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    wrong = {(i, name, *sorted(got.get(i, ()))) for i, _, name in rows if got.get(i) != {name}}
+    assert not wrong
+
+
 # -- op 3 ----------------------------------------------------------------------
 
 
