@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-#: Characters of an item for each edit allowed, and of the shortest item looked for.
+#: Characters of an item for each edit allowed; items shorter than these have none
+#: and are looked for whole, between word borders. MIN_CHARS bounds no search; brute force in the tests starts there.
 CHARS_PER_EDIT, MIN_CHARS = 20, 32
 #: Bytes of items looked for in one pass over the documents.
 PASS_BYTES = 16 << 20
 
 _WORD = re.compile(r"\w+")
+#: Letters of scripts written without spaces: every place beside one is a border.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normal(text: str) -> str:
@@ -42,6 +45,14 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def border(text: str, at: int) -> bool:
+    """Whether a word may begin or end before the character ``at``."""
+    if not 0 < at < len(text):
+        return True
+    pair = text[at - 1 : at + 1]
+    return " " in pair or bool(_UNSPACED.search(pair))
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
@@ -111,6 +122,10 @@ class Matcher:
                     continue
                 pattern, edits = self.items[k][1], self.edits[k]
                 start = end + 1 - size - offset
+                if not edits:
+                    if border(text, start) and border(text, end + 1):
+                        out[k] = (0, end + 1)
+                    continue
                 low, high = max(0, start - edits), min(len(text), start + len(pattern) + edits)
                 if k in seen and seen[k][0] <= low and high <= seen[k][1]:
                     continue
@@ -121,13 +136,17 @@ class Matcher:
         return out
 
 
-def _passes(items: DataFrame, text: str, item_id: str) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items in lists of at most PASS_BYTES, streamed partition by partition."""
+def _passes(items: DataFrame, text: str, item_id: str | None) -> Iterator[list[tuple[int, str]]]:
+    """Normalised items in lists of at most PASS_BYTES, streamed partition by partition.
+
+    Without ``item_id`` every text counts once, under the number 0.
+    """
     held, size = [], 0
-    rows = items.filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).distinct().orderBy("i", "t")
+    number = F.lit(0) if item_id is None else F.col(item_id)
+    rows = items.filter(F.col(text).isNotNull() & number.isNotNull()).select(number.cast("long").alias("i"), F.col(text).alias("t")).distinct().orderBy("i", "t")
     for r in rows.toLocalIterator():
         t = normal(r["t"])
-        if len(t) < MIN_CHARS:
+        if not t:
             continue
         if held and size + len(t) > PASS_BYTES:
             yield held
@@ -141,9 +160,9 @@ def matches(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: st
     """doc_id, item_id, distance, error_budget: a row per document row and item found.
 
     Texts are compared as lower-cased words with single spaces. An item may have
-    one edit for each CHARS_PER_EDIT characters. Items that are null or shorter
-    than MIN_CHARS are not looked for: they occur in clean text. Null and empty
-    texts hold nothing. Repeated document rows each give their rows; repeated
+    one edit for each CHARS_PER_EDIT characters; a shorter one must occur as it
+    is, between word borders. Items that are null or without words, or have no
+    item_id, are not looked for. Null and empty texts hold nothing. Repeated document rows each give their rows; repeated
     items count once. Either table may be empty.
 
     Items are shipped to the workers in lists of bounded size, with a pass over
@@ -175,11 +194,11 @@ def matches(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: st
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """Rows of ``docs``, with all their columns, in which no item occurs.
 
-    Null texts stay. Judged in the row itself, so nothing is shuffled.
+    Items count by their texts, whether they have an ``item_id`` or not. Null texts stay. Judged in the row itself, so nothing is shuffled.
     """
     place = docs.columns.index(text)
     out = docs
-    for some in _passes(items, item_text, item_id):
+    for some in _passes(items, item_text, None):
         shipped = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], shipped: object = shipped) -> Iterator[pa.RecordBatch]:

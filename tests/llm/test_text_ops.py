@@ -232,6 +232,14 @@ def test_matches_edges(spark, monkeypatch):
     assert decontamination.matches(frame(spark, texts), more).count() == 2
 
 
+def test_short_items_and_items_without_id(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Who is he?"), (3, "法国的首都是哪里"), (4, "cat"), (None, "an item that has no number but a text of its own")], "item_id long, text string")
+    texts = ["so: what is THE capital of France, asked one", "so: what is the capitol of France", "what is the capital", "who is he", "who is hers", "请问法国的首都是哪里呢", "a concatenation", "the cat.", "x an item that has no number but a text of its own y"]
+    got = {tuple(r) for r in decontamination.matches(frame(spark, texts), items).collect()}
+    assert got == {(0, 1, 0, 1), (1, 1, 1, 1), (3, 2, 0, 0), (5, 3, 0, 0), (7, 4, 0, 0)}
+    assert {r.doc_id for r in decontamination.remove_contaminated(frame(spark, texts), items).collect()} == {2, 4, 6}
+
+
 # -- op 8 ----------------------------------------------------------------------
 
 
