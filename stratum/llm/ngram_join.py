@@ -220,15 +220,20 @@ def _block_links(threshold: float) -> object:
     return run
 
 
+def _class_of(shingle: np.ndarray) -> int:
+    """64 bits of a digest of the set: the class of the texts that have it."""
+    return int.from_bytes(xxhash.xxh3_128_digest(shingle.tobytes())[:8], "big", signed=True)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        digest, sig = [], []
+        rep, sig = [], []
         for t in batch.column(1):
             s = shingles(t.as_py(), hashes)
-            digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            rep.append(_class_of(s) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "digest", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rep, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "rep", "sig"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +246,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        sets = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
-        rows = batch.drop_columns(["text"])
+        found = [(i, shingles(t, hashes)) for i, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True)]
+        ids, sets = [i for i, x in found if len(x)], [x for _, x in found if len(x)]
         yield pa.RecordBatch.from_arrays(
-            [*rows.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())],
-            names=[*rows.schema.names, "n", "shingles", "sig"],
+            [pa.array(ids, pa.int64()), pa.array([_class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())],
+            names=["doc_id", "key", "n", "shingles", "sig"],
         )
 
 
@@ -268,13 +273,15 @@ def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     scratch = Scratch(spark, "ngrams")
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     usable = source.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketch = scratch.save(arrow_map(usable, _sketch, "doc_id long, digest binary, sig binary"), "sketch")
-    mine = sketch.filter("digest IS NOT NULL")
-    members = mine.select("doc_id", "digest").distinct()
-    named = members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
+    sketch = scratch.save(arrow_map(usable, _sketch, "doc_id long, rep long, sig binary"), "sketch")
+    # A class goes by the hash of its set: a doc_id may come with several texts.
+    mine = sketch.filter("rep IS NOT NULL")
+    members = mine.select("doc_id", "rep").distinct()
+    named = members.groupBy("rep").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
     named = scratch.save(named, "classes")
     # One row of a class has the smallest id; repeated rows have the same values.
-    classes = scratch.save(mine.join(named, [mine["digest"] == named["digest"], mine["doc_id"] == named["rep"]]).select("rep", "weight", "sig").dropDuplicates(["rep", "weight"]), "signatures")
+    first = mine.join(named.withColumnRenamed("rep", "r"), (F.col("rep") == F.col("r")) & (F.col("doc_id") == F.col("least")))
+    classes = scratch.save(first.select("rep", "least", "weight", "sig").dropDuplicates(["rep"]), "signatures")
 
     bands = arrow_map(classes.select("rep", "sig"), _keys, "key long, rep long")
     buckets = scratch.save(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("n > 1"), "buckets")
@@ -287,10 +294,14 @@ def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     pruned = arrow_map(packed.repartition(ways, "key").sortWithinPartitions("key"), _bucket_forest, "a long, b long")
     comps = scratch.save(connected_components(scratch, star.unionByName(pruned), "near").withColumnRenamed("root", "comp"), "comps")
 
-    dealt = comps.join(classes.select(F.col("rep").alias("node"), "weight"), "node").select(F.col("node").alias("rep"), "comp", "weight")
+    dealt = comps.join(classes.select(F.col("rep").alias("node"), "least", "weight"), "node").select(F.col("node").alias("rep"), "comp", "least", "weight")
     dealt = scratch.save(dealt, "dealt")
-    sets = arrow_map(usable.join(small_side(dealt), F.col("doc_id") == F.col("rep")).select("rep", "comp", "weight", "text"), _whole_sets, "rep long, comp long, weight long, n long, shingles binary, sig binary")
-    sets = scratch.save(sets.dropDuplicates(["rep", "n"]), "sets")
+    # The sets of all texts of these ids, of which the classes' own are taken.
+    owners = scratch.save(dealt.select(F.col("least").alias("owner")).distinct(), "owners")
+    texts = usable.join(small_side(owners), F.col("doc_id") == F.col("owner"), "left_semi")
+    sets = arrow_map(texts, _whole_sets, "doc_id long, key long, n long, shingles binary, sig binary")
+    sets = sets.join(small_side(dealt), F.col("key") == F.col("rep")).filter("doc_id = least").select("rep", "comp", "weight", "n", "shingles", "sig")
+    sets = scratch.save(sets.dropDuplicates(["rep"]), "sets")
     per = sets.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
     g = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.least(F.ceil(F.col("rows") / 64), F.lit(SPREAD)))
     per = scratch.save(per.filter("rows > 1").select("comp", g.cast("int").alias("g")), "per")
@@ -301,12 +312,15 @@ def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     linked = scratch.save(linked, "linked")
     counts = linked.filter("NOT edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     roots = connected_components(scratch, linked.filter("edge").select("a", "b"), "link").withColumnRenamed("node", "rep")
-    facts = named.join(counts, "rep", "left").join(roots, "rep", "left")
-    facts = scratch.save(facts.select("digest", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "facts")
-    scratch.drop("buckets", "members", "once", "dealt", "sets", "per", "linked", "signatures", "comps")
-    with_words = members.join(facts, "digest").select("doc_id", "class_id", "n_links")
+    parts = named.join(counts, "rep", "left").join(roots, "rep", "left")
+    parts = scratch.save(parts.select("rep", "least", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "parts")
+    # Classes are linked by their hashes; the smallest doc_id names what hangs together.
+    names = scratch.save(parts.groupBy("root").agg(F.min("least").alias("class_id")), "names")
+    facts = scratch.save(parts.join(names, "root").select("rep", "class_id", "n_links"), "facts")
+    scratch.drop("buckets", "members", "once", "dealt", "owners", "sets", "per", "linked", "signatures", "comps", "parts", "names")
+    with_words = members.join(facts, "rep").select("doc_id", "class_id", "n_links")
     bare = source.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    wordless = sketch.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    wordless = sketch.filter("rep IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionByName(bare).unionByName(wordless)
 
 

@@ -165,6 +165,17 @@ def test_join_edges(spark):
     assert ngram_join.similar(frame(spark, [])).count() == 0
 
 
+def test_join_of_ids_with_several_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 100) for _ in range(3))
+    near = [*b[:-1], "other"]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near)), (3, " ".join([*c[:-1], "end"])), (5, " ".join(c)), (5, "!!!")]
+    hot = [words(rng, 60) for _ in range(40)]
+    rows += [(7, " ".join(h)) for h in hot] + [(100 + k, " ".join([*h[:-1], "last"])) for k, h in enumerate(hot)]
+    got = sorted(map(tuple, ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(1, 1, 0), (1, 1, 1), (2, 1, 1), (3, 3, 1), (5, 3, 1), (5, 5, 0)] + [(7, 7, 1)] * 40 + [(100 + k, 7, 1) for k in range(40)])
+
+
 def test_pruning_follows_the_posterior():
     for n, least in ngram_join.least_matches(0.8, 1e-6):
         tail = lambda m: sum(math.comb(n + 1, j) * 0.8**j * 0.2 ** (n + 1 - j) for j in range(m + 1))  # noqa: B023, E731
