@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a temporary folder is made and set.
+    Only where it is unset and the master is local (tests) a temporary folder is
+    made and set; on a cluster its absence is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="stratum-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -103,7 +106,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         table = pa.Table.from_batches([batch])
         change = np.zeros(table.num_rows, dtype=bool)
         for k in keys:
-            col = table.column(k).to_numpy()
+            col = table.column(k).to_numpy(zero_copy_only=False)
             change[1:] |= col[1:] != col[:-1]
         starts = np.flatnonzero(change)
         first = tuple(table.column(k)[0].as_py() for k in keys)
@@ -173,14 +176,22 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataF
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-#: Rows up to which a narrow table may be broadcast: 16 bytes a row, so 32 MB.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a table may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if a count of its rows allows it; else as it is."""
+def small_side(df: DataFrame, width: int = 64, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted, times ``width`` bytes allow it; else as it is."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n * width <= BROADCAST_BYTES else df
+
+
+def partitions(spark: SparkSession, size: int) -> int:
+    """Partitions of about 64 MB of ``size``; the session's usual number at least.
+
+    Named explicitly, as adaptive execution would merge small but slow ones.
+    """
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // (64 << 20)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

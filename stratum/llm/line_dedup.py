@@ -3,56 +3,71 @@
 A line is boilerplate on a host if the share of the host's pages that contain
 it exceeds a ratio. Only DataFrame functions are used.
 
-Pages with equal text are one page here: what a copied page says a thousand
-times is no template of its host, and copies are the business of document
-deduplication.
+Every row is a page, copies too. Where copies are dealt with later and should
+not turn a copied page into boilerplate, ``distinct_pages`` counts each text of
+a host once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_side
+from .common import BROADCAST_BYTES, Scratch, small_side
 
-#: Share of a host's pages that a line has to exceed, and the least pages.
+#: Share of a host's pages that a line has to exceed, and the fewest pages it has to be on:
+#: on a host of fewer than ten pages every line is on more than a tenth of them.
 RATIO, MIN_PAGES = 0.1, 3
+#: Parts that a host's pages are dealt to where its lines are too many to broadcast.
+SALTS = 64
 
 
-def _lines(text: str) -> object:
+def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n")
 
 
-def boilerplate(docs: DataFrame, *, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, *, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct_pages: bool = False) -> DataFrame:
     """(host, line_hash) of the boilerplate lines of each host.
 
     A line is its text without surrounding blanks, by a 64-bit hash with the
-    host beside it; blank lines never count. At most ``lines per page / ratio``
-    rows per host can come out.
+    host beside it; blank lines never count, and a line counts once a page. At
+    most ``lines per page / ratio`` rows per host can come out.
     """
-    pages = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias("_host"), F.xxhash64(F.col(text)).alias("_page"), F.col(text).alias("_text"))
-    tagged = pages.select("_host", "_page", F.explode(F.array_distinct(F.transform(F.filter(_lines("_text"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))).alias("line_hash"))
-    # A page of a host once: partial aggregation drops copies before the shuffle.
-    count = tagged.distinct().groupBy("_host", "line_hash").agg(F.count("*").alias("n"))
-    total = pages.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("pages"))
-    return count.filter(F.col("n") >= min_pages).join(total, count["_host"].eqNullSafe(total["_host"])).filter(F.col("n") > ratio * F.col("pages")).select(count["_host"].alias("host"), "line_hash")
-
-
-def drop_boilerplate(docs: DataFrame, *, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    pages = docs.filter(docs[text].isNotNull()).select(docs[host].alias("_host"), docs[text].alias("_text"))
+    if distinct_pages:
+        pages = pages.withColumn("_page", F.xxhash64("_text"))
+    found = F.array_distinct(F.transform(F.filter(_lines("_text"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))
+    tagged = pages.withColumn("line_hash", F.explode(found)).drop("_text")
+    total = pages.drop("_text")
+    if distinct_pages:  # partial aggregation drops copies before the shuffle
+        tagged, total = tagged.distinct(), total.distinct()
+    count = tagged.groupBy("_host", "line_hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    total = total.groupBy(F.col("_host").alias("_of")).agg(F.count("*").alias("pages"))
+    return count.join(total, F.col("_host").eqNullSafe(F.col("_of"))).filter(F.col("n") > ratio * F.col("pages")).select(F.col("_host").alias("host"), "line_hash")
+
+
+def drop_boilerplate(docs: DataFrame, *, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct_pages: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the lines removed from ``text``, and
     ``n_lines`` and ``n_dropped``.
 
     A null text stays null with no lines; a null host is a host of its own. A
-    page of which all lines go keeps an empty text. Repeated rows are each
-    cleaned. Lines keep their order and their blanks.
+    page of which all lines go keeps an empty text. Repeated rows are pages like
+    others and are each cleaned. Lines keep their order and their blanks; long
+    texts are cleaned whole. An empty table gives no rows.
     """
-    if clash := {"n_lines", "n_dropped", "_drop", "_host"} & set(docs.columns):
+    if clash := {"n_lines", "n_dropped", "_drop", "_kept", "_host", "_salt", "_part"} & set(docs.columns):
         raise ValueError(f"columns in the way: {sorted(clash)}")
     scratch = Scratch(docs.sparkSession, "lines")
-    found = scratch.save(boilerplate(docs, text=text, host=host, ratio=ratio, min_pages=min_pages), "boilerplate")
-    per_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_hash").alias("_drop"))
-    # A row per host with an array; the broadcast is allowed by the count of hashes in it.
-    joined = docs.join(small_side(per_host, found.count()), F.col(host).eqNullSafe(F.col("_host")), "left")
+    found = scratch.save(boilerplate(docs, text=text, host=host, ratio=ratio, min_pages=min_pages, distinct_pages=distinct_pages), "boilerplate")
+    per_host = scratch.save(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_hash").alias("_drop")), "hosts")
+    # A row per host with an array of 8 bytes a line.
+    size = per_host.agg(F.coalesce(F.sum(F.size("_drop") * 8 + 128), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        joined = docs.join(F.broadcast(per_host), docs[host].eqNullSafe(F.col("_host")), "left")
+    else:  # a hot host's pages go to many tasks, each with the host's lines
+        salted = per_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn("_part", F.pmod(F.xxhash64(docs[text]), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, dealt[host].eqNullSafe(F.col("_host")) & (F.col("_part") == F.col("_salt")), "left")
     keep = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), F.xxhash64(F.trim(x))))
     none = F.col("_drop").isNull() | F.col(text).isNull()
     kept = joined.withColumn("_kept", F.when(none, F.lit(None)).otherwise(keep))
@@ -70,8 +85,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = {
     "op8_line_dedup": f"""
 WITH lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-per AS (SELECT source, trim(line, ' ') AS line, count(DISTINCT text) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
-total AS (SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY 1),
+per AS (SELECT source, line, count(*) AS n FROM (SELECT DISTINCT doc_id, source, trim(line, ' ') AS line FROM lines WHERE trim(line, ' ') <> '') GROUP BY 1, 2),
+total AS (SELECT source, count(*) AS pages FROM documents WHERE text IS NOT NULL GROUP BY 1),
 gone AS (SELECT source, line FROM per JOIN total USING (source) WHERE n >= {MIN_PAGES} AND n > {RATIO} * pages),
 cut AS (SELECT l.doc_id, l.line, l.pos, g.line IS NOT NULL AS dropped FROM lines l LEFT JOIN gone g ON l.source = g.source AND trim(l.line, ' ') = g.line)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped FROM cut GROUP BY doc_id"""

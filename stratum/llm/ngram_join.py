@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, connected_components, forest, groups, small_side
+from .common import Scratch, arrow_map, connected_components, forest, groups, partitions, small_side
 
 WORDS, THRESHOLD = 5, 0.8
 #: 25 bands of 4: a pair at 0.8 shares a band with probability 1 - 2e-6.
@@ -220,20 +220,16 @@ def _block_links(threshold: float) -> object:
     return run
 
 
-def _class_of(shingle: np.ndarray) -> int:
-    """64 bits of a digest of the set: the class of the texts that have it."""
-    return int.from_bytes(xxhash.xxh3_128_digest(shingle.tobytes())[:8], "big", signed=True)
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns but the last, the text, with the digest of its set and its MinHash values."""
     hashes = _Hashes()
     for batch in batches:
-        rep, sig = [], []
-        for t in batch.column(1):
+        digest, sig = [], []
+        for t in batch.columns[-1]:
             s = shingles(t.as_py(), hashes)
-            rep.append(_class_of(s) if len(s) else None)
+            digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rep, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "rep", "sig"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=[*batch.schema.names[:-1], "digest", "sig"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,82 +242,127 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        found = [(i, shingles(t, hashes)) for i, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True)]
-        ids, sets = [i for i, x in found if len(x)], [x for _, x in found if len(x)]
+        sets = [x for t in batch.column(0).to_pylist() if len(x := shingles(t, hashes))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([_class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())],
-            names=["doc_id", "key", "n", "shingles", "sig"],
+            [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())],
+            names=["digest", "n", "shingles", "sig"],
         )
 
 
-def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links of every document.
-
-    ``n_links`` counts the other documents of which the Jaccard similarity to
-    this one is at least the threshold; ``class_id`` is the smallest doc_id
-    reachable by such links, the document's own if there are none.
+def _classes(scratch: Scratch, source: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(sketch, facts) of ``source``: doc_id, then other columns, then a text that is not null.
 
-    Texts that are null, empty or without words link with nothing. A document
-    is a distinct (doc_id, shingle set): rows repeated in both count once. Rows
-    with a null doc_id link with nothing and have a null class_id. An empty
-    table gives no rows. Other columns are ignored. Bands and pruning are laid
-    out for THRESHOLD; a higher one may be asked for, a lower one not.
+    ``sketch`` has the columns but the text, and ``digest``, null for a text
+    without words. ``facts`` has a row for each digest: ``root``, equal for
+    classes that hang together, ``class_id`` and ``n_links``.
     """
     if not THRESHOLD <= threshold <= 1:
         raise ValueError(f"threshold {threshold} is not between {THRESHOLD} and 1")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngrams")
-    source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    usable = source.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketch = scratch.save(arrow_map(usable, _sketch, "doc_id long, rep long, sig binary"), "sketch")
-    # A class goes by the hash of its set: a doc_id may come with several texts.
-    mine = sketch.filter("rep IS NOT NULL")
-    members = mine.select("doc_id", "rep").distinct()
-    named = members.groupBy("rep").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
-    named = scratch.save(named, "classes")
-    # One row of a class has the smallest id; repeated rows have the same values.
-    first = mine.join(named.withColumnRenamed("rep", "r"), (F.col("rep") == F.col("r")) & (F.col("doc_id") == F.col("least")))
-    classes = scratch.save(first.select("rep", "least", "weight", "sig").dropDuplicates(["rep"]), "signatures")
+    spark, text = scratch.spark, source.columns[-1]
+    # Finds the row of a text again; a collision only brings a row too many.
+    spot = F.xxhash64("doc_id", text).alias("spot")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema[:-1])
+    sketch = scratch.save(arrow_map(source.select(spot, *source.columns), _sketch, f"spot long, {fields}, digest binary, sig binary"), "sketch")
+    mine = sketch.filter("digest IS NOT NULL")
+    # Classes are numbered when they are written: no two share a number.
+    members = mine.select("doc_id", "digest", "spot").distinct().groupBy("doc_id", "digest").agg(F.min("spot").alias("spot"))
+    named = members.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "spot"))["spot"].alias("spot"), F.count("*").alias("weight"))
+    named = scratch.save(named.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    # Rows of a class's first text have the same values.
+    first = mine.join(named.select("rep", "weight", F.col("digest").alias("d"), F.col("spot").alias("s")), (F.col("digest") == F.col("d")) & (F.col("spot") == F.col("s")))
+    classes = scratch.save(first.select("rep", "weight", "sig").dropDuplicates(["rep"]), "signatures")
 
     bands = arrow_map(classes.select("rep", "sig"), _keys, "key long, rep long")
     buckets = scratch.save(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("n > 1"), "buckets")
     # Buckets of the same texts are one.
     once = scratch.save(buckets.groupBy("n", "lo", "who").agg(F.min("key").alias("key")).drop("who"), "once")
-    found = scratch.save(bands.join(small_side(once), "key").select("key", "n", "lo", "rep"), "members")
+    found = scratch.save(bands.join(small_side(once, 32), "key").select("key", "n", "lo", "rep"), "members")
     star = found.filter(f"n > {BUCKET}").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-    ways = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = found.filter(f"n <= {BUCKET}").join(classes.select("rep", "sig"), "rep").select("key", "rep", "sig")
-    pruned = arrow_map(packed.repartition(ways, "key").sortWithinPartitions("key"), _bucket_forest, "a long, b long")
+    pruned = arrow_map(packed.repartition(partitions(spark, found.count() * 512), "key").sortWithinPartitions("key"), _bucket_forest, "a long, b long")
     comps = scratch.save(connected_components(scratch, star.unionByName(pruned), "near").withColumnRenamed("root", "comp"), "comps")
 
-    dealt = comps.join(classes.select(F.col("rep").alias("node"), "least", "weight"), "node").select(F.col("node").alias("rep"), "comp", "least", "weight")
-    dealt = scratch.save(dealt, "dealt")
-    # The sets of all texts of these ids, of which the classes' own are taken.
-    owners = scratch.save(dealt.select(F.col("least").alias("owner")).distinct(), "owners")
-    texts = usable.join(small_side(owners), F.col("doc_id") == F.col("owner"), "left_semi")
-    sets = arrow_map(texts, _whole_sets, "doc_id long, key long, n long, shingles binary, sig binary")
-    sets = sets.join(small_side(dealt), F.col("key") == F.col("rep")).filter("doc_id = least").select("rep", "comp", "weight", "n", "shingles", "sig")
+    dealt = scratch.save(comps.withColumnRenamed("node", "rep").join(named.select("rep", "digest", "spot", "weight"), "rep"), "dealt")
+    owners = scratch.save(dealt.select(F.col("spot").alias("owner")).distinct(), "owners")
+    texts = source.select(F.col(text).alias("text"), spot).join(small_side(owners, 16), F.col("spot") == F.col("owner"), "left_semi").select("text")
+    sets = arrow_map(texts, _whole_sets, "digest binary, n long, shingles binary, sig binary")
+    sets = sets.join(small_side(dealt.drop("spot"), 64), "digest").select("rep", "comp", "weight", "n", "shingles", "sig")
     sets = scratch.save(sets.dropDuplicates(["rep"]), "sets")
     per = sets.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
     g = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.least(F.ceil(F.col("rows") / 64), F.lit(SPREAD)))
-    per = scratch.save(per.filter("rows > 1").select("comp", g.cast("int").alias("g")), "per")
+    per = scratch.save(per.filter("rows > 1").select("comp", g.cast("int").alias("g"), "total"), "per")
+    shipped = per.agg(F.coalesce(F.sum(F.col("g") * F.col("total") * 8), F.lit(0))).first()[0]
     # In a group of g blocks a row goes to g tasks: its own block, and once with each other.
-    placed = sets.join(small_side(per), "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    placed = sets.join(small_side(per.drop("total"), 16), "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     placed = placed.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "weight", "shingles", "sig")
-    linked = arrow_map(placed.repartition(ways, "comp", "i", "j").sortWithinPartitions("comp", "i", "j"), _block_links(threshold), "edge boolean, a long, b long")
+    linked = arrow_map(placed.repartition(partitions(spark, shipped), "comp", "i", "j").sortWithinPartitions("comp", "i", "j"), _block_links(threshold), "edge boolean, a long, b long")
     linked = scratch.save(linked, "linked")
     counts = linked.filter("NOT edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     roots = connected_components(scratch, linked.filter("edge").select("a", "b"), "link").withColumnRenamed("node", "rep")
     parts = named.join(counts, "rep", "left").join(roots, "rep", "left")
-    parts = scratch.save(parts.select("rep", "least", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "parts")
-    # Classes are linked by their hashes; the smallest doc_id names what hangs together.
+    parts = scratch.save(parts.select("digest", "least", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "parts")
+    # Classes are linked by their numbers; the smallest doc_id names what hangs together.
     names = scratch.save(parts.groupBy("root").agg(F.min("least").alias("class_id")), "names")
-    facts = scratch.save(parts.join(names, "root").select("rep", "class_id", "n_links"), "facts")
-    scratch.drop("buckets", "members", "once", "dealt", "owners", "sets", "per", "linked", "signatures", "comps", "parts", "names")
-    with_words = members.join(facts, "rep").select("doc_id", "class_id", "n_links")
-    bare = source.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    wordless = sketch.filter("rep IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return with_words.unionByName(bare).unionByName(wordless)
+    facts = scratch.save(parts.join(names, "root").select("digest", "root", "class_id", "n_links"), "facts")
+    scratch.drop("classes", "buckets", "members", "once", "dealt", "owners", "sets", "per", "linked", "signatures", "comps", "parts", "names")
+    return sketch, facts
+
+
+def similar(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links of every document.
+
+    ``n_links`` counts the other documents of which the Jaccard similarity to
+    this one is at least the threshold; ``class_id`` is the smallest doc_id
+    reachable by such links, the document's own if there are none.
+
+    Texts that are null, empty or without words link with nothing. A document
+    is a distinct (doc_id, shingle set): rows repeated in both count once. Rows
+    with a null doc_id link with nothing and have a null class_id. An empty
+    table gives no rows. Other columns are ignored; texts count whole. Bands and
+    pruning are laid out for THRESHOLD; a higher one may be asked for, a lower
+    one not.
+    """
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    sketch, facts = _classes(scratch, source.filter("doc_id IS NOT NULL AND text IS NOT NULL"), threshold)
+    with_words = sketch.filter("digest IS NOT NULL").select("doc_id", "digest").distinct().join(facts, "digest").select("doc_id", "class_id", "n_links")
+    alone = lambda df: df.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return with_words.unionByName(alone(source.filter("doc_id IS NULL OR text IS NULL"))).unionByName(alone(sketch.filter("digest IS NULL")))
+
+
+def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, with all their columns: one of each group of similar texts.
+
+    Rows, not ids, are grouped, so texts that share a doc_id or have none are
+    told apart. Of a group the row with the smallest doc_id stays (null ids
+    last, then by the text's digest; of rows equal in both the smallest by all
+    columns). Texts without words are grouped where they are equal, null texts
+    among them. An empty table gives no rows.
+    """
+    if clash := {"_doc", "_hash", "_key", "_gone", "_twice"} & set(docs.columns):
+        raise ValueError(f"columns in the way: {sorted(clash)}")
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    key = F.md5(docs[text]).alias("key")
+    source = docs.select(docs[doc_id].cast("long").alias("doc_id"), key, docs[text].alias("text"))
+    sketch, facts = _classes(scratch, source.filter("text IS NOT NULL"), threshold)
+    rows = sketch.groupBy("doc_id", "key", "digest").agg(F.count("*").alias("n"))
+    null = source.filter("text IS NULL").groupBy("doc_id", "key").agg(F.count("*").alias("n")).withColumn("digest", F.lit(None).cast("binary"))
+    rows = scratch.save(rows.unionByName(null).join(facts.select("digest", "root"), "digest", "left").select("doc_id", "key", "n", "root", F.when(F.col("root").isNull(), F.coalesce("key", F.lit(""))).alias("bare")), "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", F.coalesce("key", F.lit("")).alias("key"))
+    best = rows.groupBy("root", "bare").agg(F.min(rank).alias("best"))
+    best = scratch.save(best.select(F.col("root").alias("r"), F.col("bare").alias("b"), F.col("best.doc_id").alias("d"), F.col("best.key").alias("k")), "best")
+    # Each group has one row of (doc_id, key) in ``best``.
+    ids = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    won = best.select(F.col("d"), F.col("k"))
+    gone = scratch.save(rows.join(won, ids("doc_id", "d") & (F.coalesce("key", F.lit("")) == F.col("k")), "left_anti").select(F.col("doc_id").alias("_gone"), F.coalesce("key", F.lit("")).alias("_key")), "gone")
+    twice = scratch.save(rows.filter("n > 1").join(won, ids("doc_id", "d") & (F.coalesce("key", F.lit("")) == F.col("k")), "left_semi").select(F.col("doc_id").alias("_twice"), F.coalesce("key", F.lit("")).alias("_key")), "twice")
+    tagged = docs.withColumns({"_doc": docs[doc_id].cast("long"), "_hash": F.coalesce(F.md5(docs[text]), F.lit(""))})
+    meets = lambda other: F.col("_doc").eqNullSafe(F.col(other)) & (F.col("_hash") == F.col("_key"))
+    kept = tagged.join(small_side(gone, 80), meets("_gone"), "left_anti")
+    if twice.count():  # rows repeated in doc_id and text: one of them
+        again = kept.join(small_side(twice, 80), meets("_twice"), "left_semi").groupBy("_doc", "_hash").agg(F.min(F.struct(*docs.columns)).alias("_one")).select("_one.*")
+        return kept.join(small_side(twice, 80), meets("_twice"), "left_anti").select(*docs.columns).unionByName(again)
+    return kept.select(*docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """WARC, sharding, URL filter, embeddings, and queries against their SQL."""
 
 import base64
+import gzip
 import hashlib
 import random
 import uuid
@@ -11,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from stratum.llm import embeddings, registry, sharding, url_filter, warc
@@ -40,18 +42,21 @@ def archive(spark, rows, **how):
 
 
 def test_archive_round_trip(spark):
-    rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "u\r\nv", "é" * 9), (4, "u", None), (5, "u", ""), (None, "u", "x"), (6, "u", "long " * 50_000)]
+    rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "u\r\nv", "é" * 9), (4, "u", None), (5, "u", ""), (None, "u", "x"), (6, "u%20v%", "long " * 50_000)]
     path = archive(spark, rows)
     got = {r.page_id: r for r in warc.read_index(spark, path).collect()}
-    for i, _, html in rows:
+    for i, url, html in rows:
         raw = (html or "").encode()
-        assert got[i].payload_bytes == len(raw) and got[i].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert got[i].url == url and got[i].payload_bytes == len(raw) and got[i].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("revisit", 5), 5: ("response", None), None: ("revisit", 2), 6: ("response", None)}
     assert spark.read.parquet(f"{path}/payloads").count() == 4
     records = warc.reconstruct(spark, path)
-    assert {r.page_id: bytes(r.payload).decode() for r in records.collect()} == {i: h or "" for i, _, h in rows}
+    assert {(r.page_id, r.url, bytes(r.payload).decode()) for r in records.collect()} == {(i, u, h or "") for i, u, h in rows}
+    assert all(bytes(r.record).startswith(b"WARC/1.1\r\n") for r in records.collect())
     files = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    warc.write_files(records, files)
+    warc.write_files(records, files, file_bytes=200)
+    raw = [gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(files).collect()]
+    assert len(raw) > 1 and sum(len(list(warc.parse_stream(x))) for x in raw) == len(rows)
     back = {r.page_id: (r.record_type, bytes(r.payload)) for r in warc.read_files(spark, files).collect()}
     assert back[6] == ("response", ("long " * 50_000).encode()) and back[1] == ("revisit", b"") and len(back) == len(rows)
 
@@ -66,14 +71,29 @@ def test_archive_edges(spark):
     assert {r.record_type for r in small} == {"response"}
 
 
+def test_payload_of_many_records_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 10)
+    rows = [(i, f"u{i}", "the same") for i in range(100)] + [(200, "u", "other")]
+    path = archive(spark, rows)
+    got = warc.reconstruct(spark, path).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == rows
+    assert {r.refers_to for r in got} == {99, None}
+
+
+def test_records_without_id_are_told_apart(spark):
+    records = warc.reconstruct(spark, archive(spark, [(None, "u", "x"), (None, "u", "x"), (None, "v", "y")])).collect()
+    ids = [warc.parse_header(bytes(r.record).partition(b"\r\n\r\n")[0])["warc-record-id"] for r in records]
+    assert len(set(ids)) == 3
+
+
 def test_damaged_payload_is_noticed(spark):
     path = archive(spark, [(1, "u", "x")])
-    bad = spark.read.parquet(f"{path}/payloads").withColumn("sha256", F.lit("0" * 64))
+    bad = spark.read.parquet(f"{path}/payloads").withColumn("body", F.lit(zstandard.compress(b"z")))
     other = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     bad.write.parquet(f"{other}/payloads")
     spark.read.parquet(f"{path}/headers").write.parquet(f"{other}/headers")
     with pytest.raises(Exception, match="other bytes"):
-        warc.read_index(spark, other).collect()
+        warc.reconstruct(spark, other).collect()
 
 
 # -- op 5 ----------------------------------------------------------------------
@@ -200,9 +220,10 @@ def brute_vectors(rows):
     return {i: (links[i], find(i)) for i, _, _ in rows if i is not None}
 
 
-@pytest.mark.parametrize("spread", ["random", "clusters", "low"])
-def test_vectors_against_brute_force(spark, spread, monkeypatch):
-    monkeypatch.setattr(embeddings, "PER_CENTRE", 60)
+@pytest.mark.parametrize(("spread", "block"), [("random", 64), ("clusters", 64), ("low", 64), ("clusters", 2048), ("low", 7)])
+def test_vectors_against_brute_force(spark, spread, block, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "DEAL", 100)
     rng = np.random.default_rng(3)
     dims = 3 if spread == "low" else 24
     base = rng.normal(size=(40 if spread == "clusters" else 600, dims))
@@ -211,8 +232,41 @@ def test_vectors_against_brute_force(spark, spread, monkeypatch):
         v = base[i % len(base)] + (rng.normal(size=dims) * 0.06 if spread == "clusters" else 0)
         rows.append((i, [float(x) for x in v], int(i % 7 != 0)))
     rows += [(1000 + i, rows[3][1], 1) for i in range(30)]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.similar(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    stats: dict = {}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.similar(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), stats=stats).collect()}
     assert got == brute_vectors(rows)
+    assert stats["compared"] < stats["pairs"]
+
+
+def test_vectors_within_the_chord_link_whole(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 20)
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, *(rng.normal(size=5) * 0.004)], 1) for i in range(150)] + [(500 + i, [0.0, 1.0, *(rng.normal(size=4) * 0.5)], 1) for i in range(90)]
+    rows = [(i, [float(x) for x in v], lab) for i, v, lab in rows]
+    stats: dict = {}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.similar(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), stats=stats).collect()}
+    assert got == brute_vectors(rows) and got[0] == (149, 0) and stats["compared"] < 150 * 149 / 2
+
+
+def test_cosine_at_the_threshold_links(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [0.6, 0.8], 1), (3, [0.59, 0.81], 1)]
+    got = {r.vec_id: r.n_links for r in embeddings.similar(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.6).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_cover_tree_levels(spark):
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(400, 3))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    tree = embeddings.CoverTree(unit, np.arange(400))
+    assert sorted(tree.order.tolist()) == list(range(400))
+    for node, kids in enumerate(tree.children):
+        own = unit[tree.order[tree.start[node] : tree.stop[node]]]
+        assert np.sqrt(((own - tree.centre[node]) ** 2).sum(axis=1)).max() <= tree.reach[node] + 1e-7
+        if kids is not None:
+            centres = tree.centre[list(kids)]
+            assert (centres[0] == tree.centre[node]).all() and max(tree.reach[list(kids)]) <= tree.reach[node] + 1e-6
+            assert [tree.start[node], tree.stop[node]] == [tree.start[kids[0]], tree.stop[kids[-1]]]
 
 
 def test_vector_edges(spark):

@@ -260,7 +260,9 @@ def test_lines_of_a_host(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("extra", F.lit(1))
     got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df).collect()}
     assert (got[3].text, got[3].n_lines, got[3].n_dropped) == ("body 3\n", 4, 2)
-    assert got[100].text == "menu\nmine", "copies of a page are one page"
+    assert (got[100].text, got[100].n_dropped) == ("", 2), "copies of a page are pages"
+    once = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, distinct_pages=True).collect()}
+    assert once[100].text == "menu\nmine" and (once[3].text, once[3].n_dropped) == ("body 3\n", 2)
     assert (got[200].text, got[200].n_lines) == (None, 0) and got[201].text == "" and got[203].text == "menu"
     assert len(got) == len(rows)
     with pytest.raises(ValueError):
@@ -268,6 +270,29 @@ def test_lines_of_a_host(spark):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def brute_lines(rows):
+    pages, total = {}, {}
+    for _, text, host in rows:
+        if text is not None:
+            total[host] = total.get(host, 0) + 1
+            for line in {x.strip(" ") for x in text.split("\n")} - {""}:
+                pages[host, line] = pages.get((host, line), 0) + 1
+    gone = {k for k, n in pages.items() if n >= line_dedup.MIN_PAGES and n > line_dedup.RATIO * total[k[0]]}
+    return {i: None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(" ")) not in gone) for i, t, h in rows}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lines_against_brute_force(spark, broadcast, monkeypatch):
+    rng = random.Random(12)
+    pool = [f"line {k}" for k in range(60)]
+    rows = [(i, "\n".join(rng.choice(pool[: 5 + 5 * (i % 9)]) for _ in range(rng.randrange(8))), rng.choice(["a", "a", "a", "b", None])) for i in range(400)]
+    rows += [(1000 + i, "a copied page\nof two lines", "b") for i in range(30)] + [(2000, "very long\n" * 30_000, "a"), (2001, None, "a")]
+    if not broadcast:
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == brute_lines(rows)
+
+
 # -- op 10 ---------------------------------------------------------------------
 
 
