@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 #: Characters of an item for each edit allowed; items shorter than these have none
-#: and are looked for whole, between word borders. MIN_CHARS bounds no search; brute force in the tests starts there.
-CHARS_PER_EDIT, MIN_CHARS = 20, 32
+#: and are looked for whole, between word borders.
+CHARS_PER_EDIT = 20
 #: Bytes of items looked for in one pass over the documents.
 PASS_BYTES = 16 << 20
 
@@ -162,11 +162,14 @@ def matches(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: st
     Texts are compared as lower-cased words with single spaces. An item may have
     one edit for each CHARS_PER_EDIT characters; a shorter one must occur as it
     is, between word borders. Items that are null or without words, or have no
-    item_id, are not looked for. Null and empty texts hold nothing. Repeated document rows each give their rows; repeated
-    items count once. Either table may be empty.
+    item_id, are not looked for. Null and empty texts hold nothing; texts are
+    searched whole. Repeated document rows each give their rows; repeated items
+    count once, and of several texts of one item_id the nearest. Either table may
+    be empty; other columns are ignored.
 
     Items are shipped to the workers in lists of bounded size, with a pass over
-    the documents for each.
+    the documents for each: a benchmark is small beside the corpus, and its
+    lists are what the driver holds of it.
     """
     source = docs.filter(docs[text].isNotNull()).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     out = None
@@ -194,7 +197,9 @@ def matches(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: st
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """Rows of ``docs``, with all their columns, in which no item occurs.
 
-    Items count by their texts, whether they have an ``item_id`` or not. Null texts stay. Judged in the row itself, so nothing is shuffled.
+    Items count by their texts, whether they have an ``item_id`` or not. Null
+    texts stay; repeated rows are each judged; either table may be empty. Judged
+    in the row itself, so nothing is shuffled.
     """
     place = docs.columns.index(text)
     out = docs

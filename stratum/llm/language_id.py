@@ -19,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map
 
 #: Dimensions of the vectors.
 DIMENSIONS = 1024
+#: Languages that are learned at most: a label is no free text.
+MAX_LANGUAGES = 10_000
 #: Trigram vectors a worker keeps (one byte a dimension), as a bound on memory.
 KEPT_TRIGRAMS = 40_000
 #: Share of 4 by which ``op10`` holds documents out of training.
@@ -105,7 +108,9 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", dims: int
     """Unit prototypes per language from all rows whose ``text`` and ``lang`` are set.
 
     Only trigram weights per language are summed; what reaches the driver is a
-    vector per language. Rows without a letter teach nothing.
+    vector per language, of which more than MAX_LANGUAGES raise. Rows without a
+    letter teach nothing; repeated rows each count; very long texts count whole
+    but as one text. An empty table teaches nothing. Other columns are ignored.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +138,12 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", dims: int
         if total:
             yield pa.RecordBatch.from_pydict({"lang": list(total), "vec": [v.tolist() for v in total.values()]}, schema=schema)
 
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labelled = docs.filter(docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[lang].alias("lang"), docs[text].alias("text"))
     parts = arrow_map(labelled, count, "lang string, vec array<double>")
-    rows = parts.select("lang", F.posexplode("vec")).groupBy("lang", "pos").agg(F.sum("col").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("vec")).collect()
+    sums = parts.select("lang", F.posexplode("vec")).groupBy("lang", "pos").agg(F.sum("col").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("vec"))
+    rows = sums.limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     out = {}
     for r in sorted(rows, key=lambda r: r["lang"]):
         v = np.array([x["v"] for x in r["vec"]])
@@ -143,24 +151,36 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", dims: int
     return out
 
 
+def floor(dims: int = DIMENSIONS) -> float:
+    """The cosine below which a text is like no language: three standard deviations of
+    the cosine of unrelated vectors, 1 / sqrt(dims)."""
+    return 3 / dims**0.5
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` plus ``lang_pred`` and ``score``, a row per input row.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was
     learned. ``score`` is the cosine, cut to [0, 1]. Equal cosines: the name
-    that sorts first. Repeated rows are each judged.
+    that sorts first. Repeated rows are each judged, very long texts whole; an
+    empty table gives no rows. A name in ``keep`` that is one of the added ones
+    raises.
     """
     keep = keep or ["doc_id"]
+    if clash := {"lang_pred", "score", "_text"} & {c.lower() for c in keep}:
+        raise ValueError(f"columns in the way: {sorted(clash)}")
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
     dims = matrix.shape[1]
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    # The text travels once.
+    source = docs.select(*[docs[c] for c in keep], *([] if text in keep else [docs[text].alias("_text")]))
+    place = keep.index(text) if text in keep else len(keep)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tri = Trigrams(dims)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(place)
             lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             for at in range(0, batch.num_rows, _BLOCK) if names else ():
                 found = [(at + i, *tri.keys(t)) for i, t in enumerate(texts.slice(at, _BLOCK).to_pylist()) if t]
@@ -175,7 +195,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "
                 best = cos.argmax(axis=1)
                 for (i, _, _), b, s in zip(found, best.tolist(), cos.max(axis=1).tolist(), strict=True):
                     lang[i], score[i] = names[b], min(1.0, max(0.0, s))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     return arrow_map(source, judge, schema)
 

@@ -10,7 +10,9 @@ bands retrieve is verified by exact containment of the template's shingles.
 
 Windows with fewer shingles of the templates of their class than the smallest
 of these needs cannot contain one; they are left out before the bands are
-computed. Only DataFrame functions are used.
+computed. A window meets a template at the first band that they share, so each
+pair is verified once and nothing is shuffled before. A template of fewer than
+five words is one shingle of all its words. Only DataFrame functions are used.
 
 Licenses that share most of their words are told apart by the words that only
 one of them has.
@@ -25,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS, CONTAINMENT, BANDS = 5, 0.8, 64
-#: Templates, and characters of all of them, up to which they are shipped with the plan.
-MAX_TEMPLATES, MAX_TEMPLATE_CHARS = 2_000, 2 << 20
+#: Templates, and characters of all of them, that go with one pass over the documents.
+PASS_TEMPLATES, PASS_CHARS = 2_000, 2 << 20
 
 #: Public license notices, by SPDX identifier.
 TEMPLATES = [
@@ -84,10 +86,10 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _shingles(text: Column) -> Column:
-    """Hashes of the runs of five words; a shorter text has one, of all its words."""
+def _shingles(text: Column, words: int = WORDS) -> Column:
+    """Hashes of the runs of ``words`` words; a shorter text has one, of all its words."""
     hashed = F.transform(_words(text), lambda w: F.xxhash64(w))
-    runs = lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (WORDS - 1), F.least(F.size(h), F.lit(1)))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WORDS)]))
+    runs = lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (words - 1), F.least(F.size(h), F.lit(1)))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, words)]))
     # Bound once as a lambda's argument: a column would be computed for every element.
     return F.flatten(F.transform(F.array(hashed), runs))
 
@@ -106,15 +108,30 @@ def _starts(marks: str, c: int) -> Column:
 
 
 def check_templates(templates: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
-    """(template number, license, text); raises on too much text or an empty template."""
-    if len(templates) > MAX_TEMPLATES or sum(len(t or "") for _, t in templates) > MAX_TEMPLATE_CHARS:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates or {MAX_TEMPLATE_CHARS} characters")
+    """(template number, license, text); raises on a template without words."""
     for name, text in templates:
-        if not name or not text or not re.search(r"\w", text):
+        if not name or not text or not re.search(r"[^\W_]", text):
             raise ValueError(f"template of {name!r} has no words")
     return [(i, name, text) for i, (name, text) in enumerate(templates)]
 
 
+def _passes(numbered: list[tuple[int, str, str]]) -> list[tuple[int, list[tuple[int, str, str]]]]:
+    """(words of a shingle, templates) of each pass over the documents, in bounded lists."""
+    out: list[tuple[int, list[tuple[int, str, str]]]] = []
+    by_words: dict[int, list[tuple[int, str, str]]] = {}
+    for t in numbered:
+        by_words.setdefault(min(WORDS, len(re.findall(r"[^\W_]+", t[2]))), []).append(t)
+    for words, some in sorted(by_words.items(), reverse=True):
+        held: list[tuple[int, str, str]] = []
+        for t in some:
+            if held and (len(held) >= PASS_TEMPLATES or sum(len(x) for _, _, x in held) + len(t[2]) > PASS_CHARS):
+                out.append((words, held))
+                held = []
+            held.append(t)
+        out.append((words, held))
+    return out
+
+
 def _marks(shingles: str, wanted: dict[int, set[int]]) -> Column:
     """For each shingle the classes with a template that has it, as bits.
 
@@ -156,54 +173,81 @@ def _stands(have: str, rivals: str) -> Column:
     return F.forall(rivals, one)
 
 
+_RESULT = "doc_id long, license string, containment double, template int, first_word int, n_words int"
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, text: str = "text", doc_id: str = "doc_id", containment: float = CONTAINMENT, apart: bool = False) -> DataFrame:
     """doc_id, license, containment, template, first_word, n_words of what is found.
 
-    A row for each distinct (doc_id, license): its template of the largest
-    share of shingles in one window of the text, if that reaches
+    A row for each license in each distinct (doc_id, text): its template of the
+    largest share of shingles in one window of the text, if that reaches
     ``containment``; of equal ones the longer, then the first. ``first_word`` is
     where the window starts, ``n_words`` the words of the text. Null and empty
-    texts hold nothing; repeated rows count once; a null doc_id is kept. No
-    templates or no rows: no result.
+    texts hold nothing; repeated rows count once; a null doc_id is kept, each of
+    its texts apart. No templates or no rows: no result. Other columns are
+    ignored; texts are scanned whole.
 
     With ``apart``, a template that is for the most part in another license too
     needs half of the shingles that the other has not, or a larger share of
     them than the window has of the other's own; if the window has neither
     side's, the smaller of the two counts, unless it lacks a tenth by that.
+
+    A list of very many templates takes several passes over the documents.
     """
     spark = docs.sparkSession
     numbered = check_templates(templates)
     if not numbered:
-        return spark.createDataFrame([], "doc_id long, license string, containment double, template int, first_word int, n_words int")
-    known = spark.createDataFrame(numbered, "template int, license string, text string").withColumn("want", F.array_distinct(_shingles(F.col("text"))))
-    known = known.withColumn("c", F.ceil(F.log2(F.size("want").cast("double"))).cast("int")).drop("text")
-    rows = [r for r in known.collect() if r["want"]]
+        return spark.createDataFrame([], _RESULT)
+    rows = []
+    for words, some in _passes(numbered):
+        known = spark.createDataFrame(some, "template int, license string, text string").withColumn("want", F.array_distinct(_shingles(F.col("text"), words)))
+        known = known.select("template", "license", "want", F.ceil(F.log2(F.size("want").cast("double"))).cast("int").alias("c"))
+        rows.append((words, known.withColumn("bands", _bands("c", _minhash(F.col("want")))).collect()))
+    # Only texts of five-word shingles can share most of them.
+    rivals = _rivals([r for words, found in rows if words == WORDS for r in found]) if apart else {}
+    source = docs.filter(docs[text].isNotNull()).select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    out = None
+    for words, found in rows:
+        part = _found(source, found, rivals, words, containment, apart)
+        out = part if out is None else out.unionByName(part)
+    rank = F.struct("containment", "size", (-F.col("template")).alias("t"), (-F.col("first")).alias("f"))
+    best = out.groupBy("doc_id", "digest", "license").agg(F.max(rank).alias("b"), F.max("n_words").alias("n_words"))
+    return best.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.t")).alias("template"), (-F.col("b.f")).cast("int").alias("first_word"), F.col("n_words").cast("int").alias("n_words"))
+
+
+def _bands(c: str, low: Column) -> Column:
+    """A key for each band of a class."""
+    return F.transform(low, lambda x, band: F.xxhash64(F.col(c), band, x))
+
+
+def _found(source: DataFrame, rows: list, rivals: dict[int, list], words: int, containment: float, apart: bool) -> DataFrame:
+    """doc_id, digest of the text, license, containment, size, template, first, n_words of every verified window."""
+    spark = source.sparkSession
     wanted: dict[int, set[int]] = {}
     for r in rows:
         wanted.setdefault(r["c"], set()).update(r["want"])
     # Fewer hits than this hold no template of the class; a shingle may be hit repeatedly.
     least = {c: max(1, int(containment * min(len(r["want"]) for r in rows if r["c"] == c))) for c in wanted}
-    rivals = _rivals(rows) if apart else {}
-    known = spark.createDataFrame([(*r, rivals.get(r["template"], [])) for r in rows], "template int, license string, want array<long>, c int, rivals array<struct<own: array<long>, other: array<long>, slight: boolean>>", verifySchema=False)
-    keyed = known.select("template", "c", F.posexplode(_minhash(F.col("want"))).alias("band", "low"))
+    known = spark.createDataFrame([(r["template"], r["license"], r["want"], r["bands"], rivals.get(r["template"], [])) for r in rows], "template int, license string, want array<long>, bands array<long>, rivals array<struct<own: array<long>, other: array<long>, slight: boolean>>", verifySchema=False)
+    known = known.withColumn("key", F.explode(F.array_distinct("bands")))
 
-    source = docs.filter(docs[text].isNotNull()).select(docs[doc_id].alias("doc_id"), _shingles(docs[text]).alias("s"))
-    some = source.withColumn("marks", _marks("s", wanted)).filter(F.exists("marks", lambda m: m != 0))
+    texts = source.select("doc_id", F.xxhash64("text").alias("digest"), _shingles(F.col("text"), words).alias("s"), F.col("text").alias("whole"))
+    some = texts.withColumn("marks", _marks("s", wanted)).filter(F.exists("marks", lambda m: m != 0)).withColumn("n_words", F.size(_words(F.col("whole")))).drop("whole")
     # The windows of class c that hold position p start at L*(p // L) and L before.
-    windows = some.select("doc_id", "s", "marks", F.explode(F.flatten(F.array(*[_starts("marks", c) for c in wanted]))).alias("w"))
-    windows = windows.select("doc_id", "s", "marks", F.col("w.c").alias("c"), F.col("w.first").alias("first"), F.col("w.size").alias("size"))
+    windows = some.select("doc_id", "digest", "s", "marks", "n_words", F.explode(F.flatten(F.array(*[_starts("marks", c) for c in wanted]))).alias("w"))
+    windows = windows.select("doc_id", "digest", "s", "marks", "n_words", F.col("w.c").alias("c"), F.col("w.first").alias("first"), F.col("w.size").alias("size"))
     bit, need = F.expr("shiftleft(1, c)"), F.coalesce(*[F.when(F.col("c") == c, n) for c, n in least.items()])
     windows = windows.filter(F.size(F.filter(F.slice("marks", F.col("first") + 1, F.col("size")), lambda m: m.bitwiseAND(bit) != 0)) >= need)
-    windows = windows.select("doc_id", "c", "first", F.size("s").alias("total"), F.array_distinct(F.slice("s", F.col("first") + 1, F.col("size"))).alias("have"))
-    banded = windows.select("doc_id", "c", "first", "total", "have", F.posexplode(_minhash(F.col("have"))).alias("band", "low"))
-    met = banded.join(F.broadcast(keyed), ["c", "band", "low"]).select("doc_id", "c", "first", "total", "have", "template").distinct()
+    windows = windows.select("doc_id", "digest", "c", "first", "n_words", F.array_distinct(F.slice("s", F.col("first") + 1, F.col("size"))).alias("have"))
+    mine = windows.withColumn("mine", _bands("c", _minhash(F.col("have"))))
+    # Bounded like the templates of a pass: 64 keys each.
+    met = mine.withColumn("key", F.explode(F.array_distinct("mine"))).join(F.broadcast(known), "key")
+    met = met.filter(F.get(F.filter("bands", lambda k: F.array_contains("mine", k)), 0) == F.col("key"))
     share = F.size(F.array_intersect("have", "want")) / F.size("want")
-    kept = met.join(F.broadcast(known.drop("c")), "template").withColumn("containment", share).filter(F.col("containment") >= containment)
+    kept = met.withColumn("containment", share).filter(F.col("containment") >= containment)
     if apart:
         kept = kept.filter(_stands("have", "rivals"))
-    rank = F.struct("containment", F.size("want").alias("size"), (-F.col("template")).alias("t"), (-F.col("first")).alias("f"))
-    best = kept.groupBy("doc_id", "license").agg(F.max(rank).alias("b"), F.max("total").alias("total"))
-    return best.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.t")).alias("template"), (-F.col("b.f")).cast("int").alias("first_word"), (F.col("total") + WORDS - 1).cast("int").alias("n_words"))
+    return kept.select("doc_id", "digest", "license", "containment", F.size("want").alias("size"), "template", "first", "n_words")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ import itertools
 import math
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,8 +67,26 @@ def test_licenses_edges(spark):
     assert sorted(((r.doc_id, r.license, r.containment) for r in licenses.scan(same.withColumn("license", F.lit("clash")).withColumn("s", F.lit(1))).collect()), key=str) == [(1, "MIT", 1.0), (None, "MIT", 1.0)]
     with pytest.raises(ValueError):
         licenses.scan(same, [("x", "")])
-    with pytest.raises(ValueError):
-        licenses.scan(same, [("x", "y" * (licenses.MAX_TEMPLATE_CHARS + 1))])
+    several = spark.createDataFrame([(None, "Released under the MIT License."), (None, "so: Released under the MIT License."), (7, "Released under the MIT License."), (7, "x " * 3 + "Released under the MIT License.")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_words) for r in licenses.scan(several).collect()), key=str) == [(7, 5), (7, 8), (None, 5), (None, 6)]
+
+
+def test_licenses_of_few_words_and_of_many_templates(spark, monkeypatch):
+    few = [("MIT", "MIT License"), ("ISC", "ISC"), ("Apache-2.0", "Apache License, Version 2.0"), *licenses.TEMPLATES]
+    rows = [(1, "under the MIT license, as ever"), (2, "the mit and the license"), (3, "ISC"), (4, "two isc"), (5, "see the apache license version 2 0 for more"), (6, "Licensed under CC BY-NC 4.0."), (7, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license, r.n_words) for r in licenses.scan(df, few).collect()}
+    assert got == {(1, "MIT", 6), (3, "ISC", 1), (4, "ISC", 2), (5, "Apache-2.0", 9), (6, "CC-BY-NC-4.0", 7)}
+    monkeypatch.setattr(licenses, "PASS_TEMPLATES", 2)
+    assert {(r.doc_id, r.license, r.n_words) for r in licenses.scan(df, few).collect()} == got
+
+
+def test_licenses_ties(spark):
+    text = "one two three four five six"
+    df = spark.createDataFrame([(1, text), (2, "five six seven eight nine")], "doc_id long, text string")
+    same = [("A", "two three four five six"), ("B", "two three four five six"), ("A", text), ("C", text), ("C", text)]
+    got = {(r.license, r.template) for r in licenses.scan(df, same).collect()}
+    assert got == {("A", 2), ("B", 1), ("C", 3)}
 
 
 def test_licenses_query_tells_neighbours_apart(spark, tmp_path):
@@ -220,7 +240,7 @@ def test_matches_against_brute_force(spark):
         for i, item in enumerate(items):
             n = decontamination.normal(item)
             k = decontamination.budget(n)
-            if len(n) >= decontamination.MIN_CHARS and (x := edit_distance_within(n, decontamination.normal(t))) <= k:
+            if (x := edit_distance_within(n, decontamination.normal(t))) <= k:
                 want.add((d, i, x, k))
     df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {tuple(r) for r in decontamination.matches(frame(spark, texts), df).collect()} == want
@@ -228,6 +248,42 @@ def test_matches_against_brute_force(spark):
     assert clean == set(range(len(texts))) - {w[0] for w in want}
 
 
+def test_decontamination_query_against_brute_force(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) < 2000").limit(60)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").limit(15)
+    rng = random.Random(13)
+    more = []
+    for k, r in enumerate(items.collect()):
+        s = list(r.text)
+        for _ in range(k % 6):
+            s[rng.randrange(len(s))] = "q"
+        more.append((9000 + k, "so it begins: " + "".join(s) + " and ends"))
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for d, t in [(r.doc_id, decontamination.normal(r.text)) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]:
+        for r in items.collect():
+            n = decontamination.normal(r.text)
+            k = decontamination.budget(n)
+            if len(set(n.split()) & set(t.split())) * 2 >= len(set(n.split())) and (x := edit_distance_within(n, t)) <= k:
+                want.add((d, r.item_id, x, k))
+    assert len(want) > 10 and {tuple(r) for r in decontamination.op4_decontamination(spark, str(tmp_path)).collect()} == want
+
+
+def test_join_query_against_brute_force(spark, sf, docs):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.op3_ngram_join(spark, sf).collect()}
+    assert got == brute_links(list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)))
+
+
+def test_license_query_against_brute_force(spark, sf, docs):
+    known = licenses.full_texts() + licenses.notices()
+    got = {(r.doc_id, r.license) for r in licenses.op1_license_scan(spark, sf).collect()}
+    # Telling neighbours apart only takes off.
+    assert got <= brute_licenses(list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)), known)
+    plain = {(r.doc_id, r.license) for r in licenses.scan(spark.read.parquet(f"{sf}/documents.parquet"), known).collect()}
+    assert plain == brute_licenses(list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)), known)
+
+
 def test_matches_edges(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog tonight"
     items = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, ""), (4, "short")], "item_id long, text string")
@@ -296,6 +352,58 @@ def test_lines_against_brute_force(spark, broadcast, monkeypatch):
 # -- op 10 ---------------------------------------------------------------------
 
 
+def brute_vector(text, cache={}):
+    """The bundle of a text's trigrams, one by one, from the letters' vectors."""
+    text = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " "
+    out, n = np.zeros(language_id.DIMENSIONS), 0
+    for gram in zip(text, text[1:], text[2:], strict=False):
+        if gram not in cache:
+            a, b, c = (language_id._letter(ord(x), language_id.DIMENSIONS).astype(float) for x in gram)
+            cache[gram] = np.roll(a, 2) * np.roll(b, 1) * c
+        out += cache[gram]
+        n += 1
+    return (out, n) if re.search(r"[^ ]", text) else (out, 0)
+
+
+def brute_prototypes(rows):
+    sums: dict = {}
+    for text, lang in rows:
+        if text is not None and lang is not None and (v := brute_vector(text))[1]:
+            sums[lang] = sums.get(lang, 0) + v[0] / v[1]
+    return {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+
+
+def brute_language(text, model):
+    """(language, cosine) of a text; None if it has no letter."""
+    v, n = brute_vector(text)
+    if not n or not model:
+        return None
+    cos = {k: float(p @ v) / max(np.linalg.norm(v), 1e-12) for k, p in model.items()}
+    best = max(cos, key=lambda k: cos[k])
+    return best, min(1.0, max(0.0, cos[best]))
+
+
+def test_language_query_against_brute_force(spark, docs, sf):
+    held = {i for i in docs.doc_id.tolist() if zlib.crc32(str(i).encode()) % 4 == 2}
+    rows = list(zip(docs.doc_id.tolist(), docs.text.tolist(), docs.lang.tolist(), strict=True))
+    model = brute_prototypes([(t, lang) for i, t, lang in rows if i not in held])
+    got = {r.doc_id: r for r in language_id.op10_language_id(spark, sf).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if r.held_out} == held
+    for i, t, _ in rows:
+        lang, score = brute_language(t, model) or ("und", 0.0)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-4
+
+
+def test_language_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "the cat", "en", "x"), (2, None, None, "y"), (3, "la casa", "es", None)], "doc_id long, text string, lang string, host string")
+    model = language_id.learn(df)
+    got = language_id.predict(df, model, keep=["host", "text", "doc_id"])
+    assert got.columns == ["host", "text", "doc_id", "lang_pred", "score"]
+    assert sorted(tuple(r)[:4] for r in got.collect() if r.host) == [("x", "the cat", 1, "en"), ("y", None, 2, "und")]
+    with pytest.raises(ValueError, match="in the way"):
+        language_id.predict(df.withColumn("score", F.lit(1)), model, keep=["score"])
+
+
 def test_language_accuracy_on_held_out(spark, docs, sf):
     got = language_id.op10_language_id(spark, sf).toPandas().merge(docs[["doc_id", "lang"]], on="doc_id")
     held = got[got.held_out]
@@ -336,6 +444,18 @@ def test_bpe_equals_the_library(tokenizer, docs):
         assert tokenizer.decode(ids) == text.encode()
 
 
+def test_bpe_query_equals_the_library(spark, tokenizer, docs, sf):
+    import hashlib
+
+    import tiktoken
+
+    ref = tiktoken.Encoding("own", pat_str=bpe.default_vocabulary()[1], mergeable_ranks=tokenizer.ranks, special_tokens={})
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.op6_byte_bpe(spark, sf).collect()}
+    for i, t in zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True):
+        ids = ref.encode_ordinary(t)
+        assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
 def test_bpe_frames(spark, tokenizer):
     path, pattern = bpe.default_vocabulary()
     df = frame(spark, [*SPECIAL, "same", "same"]).withColumn("n_tokens", F.lit(1))
