@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import bpe, decontamination, language_id, line_dedup, ngram_join
-from stratum.llm.common import Scratch, small_side
+from stratum.llm.common import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,42 +22,53 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language: the text is null or has no letter.
-
-    Prototypes are learned from the labels of the stage's own input. If there
-    are none, a document is judged by its letters alone.
+    """Drop documents that are in none of the corpus's languages.
+
+    Prototypes are learned from the labels of the stage's own input. A document
+    goes if its text is null or has no letter, or if its cosine with the nearest
+    prototype is what unrelated texts have (:func:`language_id.floor`): text in
+    a language nobody labelled, or random letters. If nothing is labelled, a
+    document is judged by its letters alone. Repeated rows are each judged; a
+    null doc_id or source is of no account; an empty table stays empty.
     """
     model = language_id.learn(docs)
     if not model:
         return _columns(docs.filter(F.col("text").rlike(r"\p{L}")))
-    return _columns(language_id.predict(_columns(docs), model, keep=COLUMNS).filter("lang_pred <> 'und'"))
+    return _columns(language_id.predict(_columns(docs), model, keep=COLUMNS).filter((F.col("lang_pred") != "und") & (F.col("score") >= language_id.floor())))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove the boilerplate lines of each source; every document stays."""
+    """Remove the boilerplate lines of each source; every document stays.
+
+    Every document is a page of its source, copies too, so a document copied to
+    more than a tenth of a source's pages loses its lines like any banner. Null
+    texts stay; a null source is a source of its own; an empty table stays empty.
+    """
     out = line_dedup.drop_boilerplate(_columns(docs))
     return _columns(out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of similar documents the one with the smallest doc_id.
+    """Keep one row of each group of similar documents: the one with the smallest doc_id.
 
-    Rows repeated in doc_id and text count as one; a null doc_id is in no group.
+    Rows are grouped, not ids (:func:`ngram_join.one_of_each`): texts without a
+    doc_id or with a shared one are told apart, repeated rows and equal texts
+    without words leave one. An empty table stays empty.
     """
-    classes = ngram_join.similar(docs)
-    gone = classes.filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    scratch = Scratch(spark, "near-duplicates")
-    gone = scratch.save(gone, "gone")
-    return _columns(docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti"))
+    return ngram_join.one_of_each(_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a benchmark item occurs."""
+    """Drop documents in which a benchmark item occurs.
+
+    Null texts hold nothing and stay; repeated rows are each judged; an empty
+    table or an empty benchmark changes nothing.
+    """
     return _columns(decontamination.remove_contaminated(_columns(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left."""
+    """Token counts and digests of every row that is left; null texts count as empty."""
     path, pattern = bpe.default_vocabulary()
     return bpe.digest(docs, path=path, pattern=pattern)
 
