@@ -156,7 +156,7 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
                 out.append(header_bytes(r["page_id"], r["url"], digest, r["sha256"], r["size"], r["owner"], revisit, r["serial"]))
             yield pa.RecordBatch.from_arrays([batch.column("sha256"), pa.array(out, pa.binary())], names=["sha256", "header"])
 
-    owned = facts.join(small_side(owners, 120), "sha256").select("page_id", "url", "sha1", "sha256", "size", "owner", F.monotonically_increasing_id().alias("serial"))
+    owned = facts.join(small_side(owners, 240), "sha256").select("page_id", "url", "sha1", "sha256", "size", "owner", F.monotonically_increasing_id().alias("serial"))
     arrow_map(owned, head, "sha256 string, header binary").write.parquet(f"{path}/headers")
     scratch.drop("facts", "owners")
 
@@ -215,7 +215,7 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     headers, payloads = spark.read.parquet(f"{path}/headers").select("sha256", "header"), spark.read.parquet(f"{path}/payloads").select("sha256", "body")
     hot = headers.groupBy("sha256").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
     hot = scratch.save(hot.select("sha256", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "hot")
-    few = small_side(hot, 100)
+    few = small_side(hot, 240)
     parts = F.coalesce("parts", F.lit(1))
     dealt = headers.join(few, "sha256", "left").select("sha256", "header", F.pmod(F.xxhash64("header"), parts).cast("int").alias("part"))
     spread = payloads.join(few, "sha256", "left").select("sha256", "body", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
