@@ -7,7 +7,7 @@ each row's fate once; the result is the whole new target, which
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -103,22 +103,27 @@ def upsert(
     _need(target, *keys)
     check_source(source, keys)
     s = source.withColumn("_in", F.lit(1)).alias("s")
-    t = target.alias("t")
+    t = target.withColumn("_was", F.lit(1)).alias("t")
     same = [F.col(f"s.{k}") == F.col(f"t.{k}") for k in keys]
-    hit = F.col("s._in").isNotNull()
+    both = F.col("s._in").isNotNull() & F.col("t._was").isNotNull()
     if not when_matched:
         hit = F.lit(False)
     elif hash_column:
-        hit = hit & ~F.col(f"s.{hash_column}").eqNullSafe(F.col(f"t.{hash_column}"))
+        hit = both & ~F.col(f"s.{hash_column}").eqNullSafe(F.col(f"t.{hash_column}"))
+    else:
+        hit = both
+    fresh = F.col("t._was").isNull()
     sets = {c: F.col(f"s.{c}") for c in update} | {c: F.expr(e) for c, e in (update_expressions or {}).items()}
-    types = dict(target.dtypes)
-    kept = t.join(s, same, "left").select(*[(F.when(hit, sets[c].cast(types[c])).otherwise(F.col(f"t.{c}")) if c in sets else F.col(f"t.{c}")).alias(c) for c in target.columns], F.when(hit, UPDATE).otherwise(UNCHANGED).alias("_change"))
-    if not when_not_matched:
-        return kept
     gives = {c: F.col(f"s.{c}") for c in insert} | {c: F.expr(e) for c, e in (insert_expressions or {}).items()}
-    new = s.join(target.select(*keys).alias("t"), same, "left_anti")
-    new = new.select(*[(gives[c] if c in gives else F.lit(None)).cast(types[c]).alias(c) for c in target.columns], F.lit(INSERT).alias("_change"))
-    return kept.unionByName(new)
+    types = dict(target.dtypes)
+
+    def value(c: str) -> Column:
+        old, kind = F.col(f"t.{c}"), types[c]
+        kept = F.when(hit, sets[c].cast(kind)).otherwise(old) if c in sets else old
+        return F.when(fresh, (gives[c] if c in gives else F.lit(None)).cast(kind)).otherwise(kept).alias(c) if when_not_matched else kept.alias(c)
+
+    joined = t.join(s, same, "full" if when_not_matched else "left")
+    return joined.select(*map(value, target.columns), F.when(fresh, INSERT).when(hit, UPDATE).otherwise(UNCHANGED).alias("_change"))
 
 
 def insert_only(source: DataFrame, target: DataFrame, *, keys: list[str]) -> DataFrame:
@@ -156,21 +161,16 @@ def scd2(source: DataFrame, target: DataFrame, *, key: str, attributes: list[str
     _need(target, key, *attributes, hash_column, *SCD2_COLUMNS)
     check_source(source, [key])
     s = source.withColumn("_at", F.expr(effective_at).cast("timestamp")).select(F.col(key).alias("_k"), F.col(hash_column).alias("_h"), *[F.col(a).alias(f"_s_{a}") for a in attributes], "_at")
-    joined = target.join(s, (F.col(key) == F.col("_k")) & F.col("is_current"), "left")
-    ends = F.col("_k").isNotNull() & ~F.col(hash_column).eqNullSafe(F.col("_h"))
-    old = joined.select(
-        *[
-            F.when(ends, F.col("_at")).otherwise(F.col(c)).alias(c) if c == "effective_to" else F.when(ends, F.lit(False)).otherwise(F.col(c)).alias(c) if c == "is_current" else F.col(c)
-            for c in target.columns
-        ],
-        F.when(ends, "CLOSED").alias("_change"),
-    )
-    now = target.filter("is_current").select(F.col(key).alias("_c"), F.col(hash_column).alias("_ch"), F.col("version_number").alias("_v"))
-    fresh = s.join(now, F.col("_k") == F.col("_c"), "left").filter(F.col("_c").isNull() | ~F.col("_h").eqNullSafe(F.col("_ch")))
+    joined = target.withColumn("_was", F.lit(True)).join(s.withColumn("_in", F.lit(True)), (F.col(key) == F.col("_k")) & F.col("is_current"), "full")
+    known, given = F.col("_was").isNotNull(), F.col("_in").isNotNull()
+    moved = given & (~known | ~F.col(hash_column).eqNullSafe(F.col("_h")))
     types = dict(target.dtypes)
-    values = {key: F.col("_k"), hash_column: F.col("_h"), "version_number": F.coalesce("_v", F.lit(0)) + 1, "effective_from": F.col("_at"), "effective_to": F.lit(None), "is_current": F.lit(True)} | {a: F.col(f"_s_{a}") for a in attributes}
-    new = fresh.select(*[(values[c] if c in values else F.lit(None)).cast(types[c]).alias(c) for c in target.columns], F.lit("INSERTED").alias("_change"))
-    return old.unionByName(new)
+    over = {"effective_to": F.when(moved, F.col("_at").cast(types["effective_to"])).otherwise(F.col("effective_to")), "is_current": F.when(moved, F.lit(False)).otherwise(F.col("is_current"))}
+    values = {key: F.col("_k"), hash_column: F.col("_h"), "version_number": F.coalesce("version_number", F.lit(0)) + 1, "effective_from": F.col("_at"), "effective_to": F.lit(None), "is_current": F.lit(True)} | {a: F.col(f"_s_{a}") for a in attributes}
+    old = F.struct(*[(over[c] if c in over else F.col(c)).cast(types[c]).alias(c) for c in target.columns], F.when(moved, "CLOSED").alias("_change"))
+    new = F.struct(*[(values[c] if c in values else F.lit(None)).cast(types[c]).alias(c) for c in target.columns], F.lit("INSERTED").alias("_change"))
+    rows = joined.select(F.explode(F.array_compact(F.array(F.when(known, old), F.when(moved, new)))).alias("_row"))
+    return rows.select("_row.*")
 
 
 def as_of(dimension: DataFrame, at: str) -> DataFrame:

@@ -1,15 +1,22 @@
 """A versioned table of Parquet files with atomic commits.
 
-A commit writes its data to a folder of its own and then creates the next log
-entry, which lists the folders that make up the version. Creating a log entry
-that exists fails, so of two writers one has to try again on the new version.
-All access goes through Hadoop's file system, so any store that Spark reaches
-will do.
+A commit writes its data to a folder of its own and then publishes the next log
+entry. Every method that writes takes one commit as its base, reads that
+version and publishes the one after it; if another writer did so meanwhile, it
+raises and nothing is lost. An entry is written aside and then linked or renamed
+to its name, so it is there whole or not at all: on a local file system by a
+hard link, elsewhere by a rename that does not replace, which HDFS and its like
+do in one step. Object stores without such a rename are not safe for several
+writers.
+
+An entry holds the folders that a commit added; every tenth, and each that
+replaces the data, holds all of them.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
@@ -44,6 +51,18 @@ class Commit:
     #: Logical column to the name in the files, where they differ.
     physical: dict[str, str] = field(default_factory=dict)
     not_null: list[str] = field(default_factory=list)
+    #: Folders this commit appended; None if it replaced the data.
+    added: list[str] | None = None
+    #: The last batch of each application that appends in numbered batches.
+    batches: dict[str, int] = field(default_factory=dict)
+    #: Folders with the paths of source files that were loaded.
+    ledger: list[str] = field(default_factory=list)
+
+
+#: Entries after which the folders are listed in full again.
+CHECKPOINT = 10
+#: End of the name of a folder that holds partitions by column.
+_PARTITIONED = "-p"
 
 
 class VersionedTable:
@@ -60,49 +79,103 @@ class VersionedTable:
     def _log_path(self, version: int) -> object:
         return self._Path(f"{self.path}/_log/{version:020d}.json")
 
-    def versions(self) -> list[int]:
+    def _listed(self) -> list[int]:
         at = self._Path(f"{self.path}/_log")
         if not self._fs.exists(at):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
-    def exists(self) -> bool:
-        return bool(self.versions())
-
-    def commit_of(self, version: int | None = None) -> Commit:
-        have = self.versions()
-        if not have:
-            raise FileNotFoundError(f"no table at {self.path}")
-        version = have[-1] if version is None else version
-        if version not in have:
-            raise ValueError(f"no version {version}; there are {have[0]} to {have[-1]}")
+    def _entry(self, version: int) -> dict | None:
+        """A log entry; None if it is torn, as no commit of ours can be."""
         stream = self._fs.open(self._log_path(version))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return Commit(**json.loads(text))
-
-    def _write_log(self, commit: Commit) -> Commit:
         try:
-            out = self._fs.create(self._log_path(commit.version), False)
-        except Exception as e:
-            if "already exists" in str(e):
-                raise ConcurrentCommit(f"version {commit.version} was committed by another writer") from e
-            raise
+            return json.loads(text)
+        except json.JSONDecodeError:
+            return None
+
+    def versions(self) -> list[int]:
+        return [v for v in self._listed() if self._entry(v) is not None]
+
+    def exists(self) -> bool:
+        return any(self._entry(v) is not None for v in reversed(self._listed()))
+
+    def commit_of(self, version: int | None = None) -> Commit:
+        """A commit, the latest by default, with all folders of its version."""
+        have = self._listed()
+        wanted = reversed(have) if version is None else [version] if version in have else []
+        entry = next((e for v in wanted if (e := self._entry(v)) is not None), None)
+        if entry is None:
+            if version is not None and have:
+                raise ValueError(f"no version {version}; there are {have[0]} to {have[-1]}")
+            raise FileNotFoundError(f"no table at {self.path}")
+        entry["properties"] = dict(entry["properties"])
+        tail, at, later = [], entry, entry["version"]
+        while at["folders"] is None:  # at most CHECKPOINT entries back
+            tail = [*at["added"], *tail]
+            later = at["base"]
+            at = self._entry(later)
+        entry["folders"] = [*at["folders"], *tail]
+        entry.pop("base", None)
+        return Commit(**entry)
+
+    def _base(self) -> Commit | None:
+        return self.commit_of() if self.exists() else None
+
+    def _write_log(self, commit: Commit, base: Commit | None) -> Commit:
+        # A torn entry keeps its number.
+        torn = [v for v in self._listed() if v >= commit.version and self._entry(v) is None]
+        if torn:
+            commit.version = torn[-1] + 1
+        entry = asdict(commit) | {"base": base.version if base else None}
+        if commit.added is not None and commit.version % CHECKPOINT:
+            entry["folders"] = None
+        self._publish(json.dumps(entry).encode(), self._log_path(commit.version), commit.version)
+        return commit
+
+    def _publish(self, data: bytes, where: object, version: int) -> None:
+        taken = ConcurrentCommit(f"version {version} was committed by another writer")
+        name = f"{self.path}/_log/.{uuid.uuid4().hex}.tmp"
+        if self._fs.getScheme() == "file":
+            aside, place = (self._Path(x).toUri().getPath() for x in (name, where.toString()))
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            with open(aside, "wb") as f:
+                f.write(data)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(aside, place)
+            except FileExistsError as e:
+                raise taken from e
+            finally:
+                os.unlink(aside)
+            return
+        out = self._fs.create(self._Path(name), False)
         try:
-            out.write(bytearray(json.dumps(asdict(commit)).encode()))
+            out.write(bytearray(data))
         finally:
             out.close()
-        return commit
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(self._Path(name), where, none)
+        except Exception as e:
+            self._fs.delete(self._Path(name), False)
+            if "exist" in str(e):
+                raise taken from e
+            raise
 
     def _next(self, operation: str, base: Commit | None, *, schema: T.StructType, folders: list[str], metrics: dict[str, int], **changes: object) -> Commit:
-        keep = {"properties": {}, "physical": {}, "not_null": []} | ({"properties": base.properties, "physical": base.physical, "not_null": base.not_null} if base else {})
-        return self._write_log(Commit(base.version + 1 if base else 0, int(time.time() * 1000), operation, schema.json(), folders, metrics, **(keep | changes)))
+        names = ("properties", "physical", "not_null", "batches", "ledger")
+        keep = {n: getattr(base, n) for n in names} if base else {}
+        return self._write_log(Commit(base.version + 1 if base else 0, int(time.time() * 1000), operation, schema.json(), folders, metrics, **(keep | changes)), base)
 
     def _folder(self, df: DataFrame, *, cluster: list[str] | None = None, files: int | None = None, partition_by: list[str] | None = None) -> str:
-        name = f"data-{uuid.uuid4().hex}"
+        name = f"data-{uuid.uuid4().hex}{_PARTITIONED if partition_by else ''}"
         if cluster:
             df = (df.repartitionByRange(files, *cluster) if files else df.repartitionByRange(*cluster)).sortWithinPartitions(*cluster)
         elif files:
@@ -114,24 +187,41 @@ class VersionedTable:
         return name
 
     # -- reading -----------------------------------------------------------
+    @staticmethod
+    def _schema(commit: Commit) -> T.StructType:
+        return T.StructType.fromJson(json.loads(commit.schema))
+
     def schema(self, version: int | None = None) -> T.StructType:
-        return T.StructType.fromJson(json.loads(self.commit_of(version).schema))
+        return self._schema(self.commit_of(version))
+
+    def _rows(self, commit: Commit, folders: list[str] | None = None) -> DataFrame:
+        """The rows of a commit's folders by its stored schema: one scan, or two if some
+        are partitioned. Columns that older files lack are null, narrower ones widened."""
+        schema = self._schema(commit)
+        stored = T.StructType([T.StructField(commit.physical.get(f.name, f.name), f.dataType) for f in schema])
+        out, every = None, commit.folders if folders is None else folders
+        for kind in (False, True):
+            some = [f"{self.path}/{f}" for f in every if f.endswith(_PARTITIONED) == kind]
+            if some:
+                part = self.spark.read.schema(stored).parquet(*some).select(*[F.col(f"`{p.name}`").alias(f.name) for p, f in zip(stored, schema, strict=True)])
+                out = part if out is None else out.unionByName(part)
+        return out if out is not None else self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The table as of a version, the latest by default.
+        """The table as of a version, the latest by default."""
+        return self._rows(self.commit_of(version))
 
-        Columns that older files lack are null, narrower ones widened.
-        """
-        commit = self.commit_of(version)
-        schema = T.StructType.fromJson(json.loads(commit.schema))
-        out = None
-        for folder in commit.folders:
-            part = self.spark.read.parquet(f"{self.path}/{folder}")
-            have = set(part.columns)
-            names = {f.name: commit.physical.get(f.name, f.name) for f in schema}
-            part = part.select(*[(F.col(f"`{names[f.name]}`") if names[f.name] in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.spark.createDataFrame([], schema)
+    def appended(self, after: int) -> list[tuple[int, DataFrame]]:
+        """(version, rows) of the appends later than a version; a rewrite adds no rows."""
+        commits = [self.commit_of(v) for v in self._listed() if v > after and self._entry(v) is not None]
+        return [(c.version, self._rows(c, c.added)) for c in commits if c.added]
+
+    def loaded(self, commit: Commit | None = None) -> DataFrame:
+        """(path) of the source files that were loaded."""
+        commit = commit or self._base()
+        if not commit or not commit.ledger:
+            return self.spark.createDataFrame([], "path string")
+        return self.spark.read.schema("path string").parquet(*[f"{self.path}/{f}" for f in commit.ledger])
 
     def as_of(self, timestamp_ms: int) -> DataFrame:
         """The table as it was at an instant."""
@@ -150,9 +240,9 @@ class VersionedTable:
         c = self.commit_of()
         return {"version": c.version, "operation": c.operation, **c.metrics}
 
-    def detail(self) -> dict[str, object]:
+    def detail(self, commit: Commit | None = None) -> dict[str, object]:
         """Files, bytes, columns and properties of the current version."""
-        c = self.commit_of()
+        c = commit or self.commit_of()
         files = size = 0
         for folder in c.folders:
             it = self._fs.listFiles(self._Path(f"{self.path}/{folder}"), True)
@@ -183,18 +273,38 @@ class VersionedTable:
     def _ours(self, df: DataFrame, commit: Commit) -> DataFrame:
         return df.select(*[F.col(f"`{c}`").alias(commit.physical.get(c, c)) for c in df.columns])
 
-    def overwrite(self, df: DataFrame, *, overwrite_schema: bool = False, operation: str = "WRITE", metrics: dict[str, int] | None = None, partition_by: list[str] | None = None, cluster: list[str] | None = None, files: int | None = None) -> Commit:
-        """Replace all rows; other columns need ``overwrite_schema``."""
-        base = self.commit_of() if self.exists() else None
+    def overwrite(
+        self,
+        df: DataFrame,
+        *,
+        overwrite_schema: bool = False,
+        operation: str = "WRITE",
+        metrics: dict[str, int] | None = None,
+        partition_by: list[str] | None = None,
+        cluster: list[str] | None = None,
+        files: int | None = None,
+        properties: dict[str, str] | None = None,
+        **changes: object,
+    ) -> Commit:
+        """Replace all rows, or create the table; other columns need ``overwrite_schema``."""
+        base = self._base()
         schema, physical, required = df.schema, {}, []
         if base and not overwrite_schema:
-            schema, physical, required = self.schema(), base.physical, base.not_null
+            schema, physical, required = self._schema(base), base.physical, base.not_null
             df = self._conform(df, schema)
         df = self._check_nulls(df, required)
         names = df.select(*[F.col(f"`{c}`").alias(physical.get(c, c)) for c in df.columns])
         folder = self._folder(names, partition_by=partition_by, cluster=cluster, files=files)
         counts = metrics or {"numOutputRows": self._stats(folder)}
-        return self._next(operation, base, schema=schema, folders=[folder], metrics=counts, physical=physical, not_null=required)
+        if properties:
+            changes["properties"] = (base.properties if base else {}) | properties
+        return self._next(operation, base, schema=schema, folders=[folder], metrics=counts, physical=physical, not_null=required, **changes)
+
+    def create_as(self, df: DataFrame, *, properties: dict[str, str] | None = None, partition_by: list[str] | None = None, cluster: list[str] | None = None) -> Commit:
+        """A new table with the rows of a query; raises if there is one."""
+        if self.exists():
+            raise FileExistsError(self.path)
+        return self.overwrite(df, operation="CREATE TABLE AS SELECT", properties=properties, partition_by=partition_by, cluster=cluster)
 
     def _conform(self, df: DataFrame, schema: T.StructType) -> DataFrame:
         """``df`` in the table's columns and types; raises if it has others."""
@@ -205,13 +315,26 @@ class VersionedTable:
             raise SchemaMismatch(f"types differ: {wrong}")
         return df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
-    def append(self, df: DataFrame, *, merge_schema: bool = False) -> Commit:
+    def append(self, df: DataFrame, *, merge_schema: bool = False, batch: tuple[str, int] | None = None, ledger: DataFrame | None = None, base: Commit | None = None) -> Commit:
         """Add rows. Extra columns and other types are refused before anything is
-        written, unless ``merge_schema`` adds the column or widens the type."""
-        if not self.exists():
-            return self.overwrite(df, operation="WRITE")
-        base, schema = self.commit_of(), self.schema()
-        physical = dict(base.physical)
+        written, unless ``merge_schema`` adds the column or widens the type.
+
+        ``batch`` (application, number) is kept in the same commit; a number that
+        was committed before adds nothing. So are the paths in ``ledger``.
+        """
+        base = base or self._base()
+        done = {}
+        if batch:
+            if base and base.batches.get(batch[0], -1) >= batch[1]:
+                return base
+            done["batches"] = (base.batches if base else {}) | {batch[0]: batch[1]}
+        if ledger is not None:
+            name = f"ledger-{uuid.uuid4().hex}"
+            ledger.select("path").write.parquet(f"{self.path}/{name}")
+            done["ledger"] = [*(base.ledger if base else []), name]
+        if base is None:
+            return self.overwrite(df, operation="WRITE", **done)
+        schema, physical = self._schema(base), dict(base.physical)
         if merge_schema:
             old, schema = set(schema.names), merged_schema(schema, df.schema)
             for name in set(schema.names) - old:
@@ -220,54 +343,57 @@ class VersionedTable:
         df = self._check_nulls(self._conform(df, schema), base.not_null)
         names = df.select(*[F.col(f"`{c}`").alias(physical.get(c, c)) for c in df.columns])
         folder = self._folder(names)
-        return self._next("WRITE", base, schema=schema, folders=[*base.folders, folder], metrics={"numOutputRows": self._stats(folder)}, physical=physical)
+        return self._next("WRITE", base, schema=schema, folders=[*base.folders, folder], added=[folder], metrics={"numOutputRows": self._stats(folder)}, physical=physical, **done)
 
     @staticmethod
     def _taken(commit: Commit) -> set[str]:
         """Names in the files that belong to renamed or dropped columns."""
         return {v for k, v in commit.physical.items() if k != v} | set(commit.properties.get("droppedColumns", "").split(","))
 
-    def _replace(self, rows: DataFrame, operation: str, counted: dict[str, str], column: str) -> Commit:
+    def _replace(self, base: Commit, rows: DataFrame, operation: str, counted: dict[str, str], column: str) -> Commit:
         """Commit rows that tell in ``column`` what happened to them; counts come
         from the written files, so the plan runs once."""
-        base = self.commit_of()
         data = self._check_nulls(rows, base.not_null)
         tagged = data.select(*[F.col(f"`{c}`").alias(base.physical.get(c, c)) for c in data.columns])
         folder = self._folder(tagged)
         written = self.spark.read.parquet(f"{self.path}/{folder}")
         got = {r[0]: r[1] for r in written.groupBy(column).count().collect()}
         metrics = {name: got.get(value, 0) for value, name in counted.items()} | {"numOutputRows": sum(got.values())}
-        return self._next(operation, base, schema=self.schema(), folders=[folder], metrics=metrics)
+        return self._next(operation, base, schema=self._schema(base), folders=[folder], metrics=metrics)
 
     def merge(self, source: DataFrame, **how: object) -> Commit:
         """Upsert by :func:`stratum.operators.change.upsert`, as one commit."""
-        rows = change.upsert(source, self.read(), **how)
-        return self._replace(rows, "MERGE", {change.INSERT: "numTargetRowsInserted", change.UPDATE: "numTargetRowsUpdated"}, "_change")
+        base = self.commit_of()
+        rows = change.upsert(source, self._rows(base), **how)
+        return self._replace(base, rows, "MERGE", {change.INSERT: "numTargetRowsInserted", change.UPDATE: "numTargetRowsUpdated"}, "_change")
 
     def insert_new(self, source: DataFrame, keys: list[str]) -> Commit:
         """Append the rows whose key is new: replaying a load adds none."""
-        commit = self.append(change.insert_only(source, self.read(), keys=keys))
-        return commit
+        base = self.commit_of()
+        return self.append(change.insert_only(source, self._rows(base), keys=keys), base=base)
 
     def scd2(self, source: DataFrame, **how: object) -> dict[str, int]:
         """Apply type 2 changes in one commit; {closed_rows, inserted_rows}."""
-        rows = change.scd2(source, self.read(), **how)
-        m = self._replace(rows, "MERGE", {"CLOSED": "numTargetRowsUpdated", "INSERTED": "numTargetRowsInserted"}, "_change").metrics
+        base = self.commit_of()
+        rows = change.scd2(source, self._rows(base), **how)
+        m = self._replace(base, rows, "MERGE", {"CLOSED": "numTargetRowsUpdated", "INSERTED": "numTargetRowsInserted"}, "_change").metrics
         return {"closed_rows": m["numTargetRowsUpdated"], "inserted_rows": m["numTargetRowsInserted"]}
 
     def delete(self, predicate: str) -> Commit:
         """Delete rows for which the predicate is true; null keeps a row."""
-        base, now = self.commit_of(), self.read()
+        base = self.commit_of()
+        now = self._rows(base)
         keep = now.filter(~F.coalesce(F.expr(predicate), F.lit(False)))
         before = now.count()
         folder = self._folder(self._ours(keep, base))
         after = self._stats(folder)
-        return self._next("DELETE", base, schema=self.schema(), folders=[folder], metrics={"numDeletedRows": before - after, "numOutputRows": after})
+        return self._next("DELETE", base, schema=self._schema(base), folders=[folder], metrics={"numDeletedRows": before - after, "numOutputRows": after})
 
     # -- schema ------------------------------------------------------------
     def rename_column(self, old: str, new: str) -> Commit:
         """Rename without rewriting: files keep the name they have."""
-        base, schema = self.commit_of(), self.schema()
+        base = self.commit_of()
+        schema = self._schema(base)
         if old not in schema.names or new in schema.names:
             raise SchemaMismatch(f"cannot rename {old} to {new}")
         fields = [T.StructField(new, f.dataType, f.nullable) if f.name == old else f for f in schema]
@@ -276,7 +402,8 @@ class VersionedTable:
 
     def drop_column(self, name: str) -> Commit:
         """Drop without rewriting; a later column of the name starts empty."""
-        base, schema = self.commit_of(), self.schema()
+        base = self.commit_of()
+        schema = self._schema(base)
         if name not in schema.names:
             raise SchemaMismatch(f"no column {name}")
         hidden = {k: v for k, v in base.physical.items() if k != name}
@@ -284,7 +411,8 @@ class VersionedTable:
         return self._next("DROP COLUMN", base, schema=T.StructType([f for f in schema if f.name != name]), folders=base.folders, metrics={}, physical=hidden, properties=base.properties | {"droppedColumns": dropped}, not_null=[c for c in base.not_null if c != name])
 
     def add_column(self, name: str, kind: str) -> Commit:
-        base, schema = self.commit_of(), self.schema()
+        base = self.commit_of()
+        schema = self._schema(base)
         if name in schema.names:
             raise SchemaMismatch(f"there is a column {name}")
         field_ = T.StructField(name, T._parse_datatype_string(kind))
@@ -292,7 +420,7 @@ class VersionedTable:
 
     def set_properties(self, **properties: str) -> Commit:
         base = self.commit_of()
-        return self._next("SET TBLPROPERTIES", base, schema=self.schema(), folders=base.folders, metrics={}, properties=base.properties | properties)
+        return self._next("SET TBLPROPERTIES", base, schema=self._schema(base), folders=base.folders, metrics={}, properties=base.properties | properties)
 
     # -- maintenance -------------------------------------------------------
     def fingerprint(self, version: int | None = None) -> tuple[int, int]:
@@ -305,11 +433,11 @@ class VersionedTable:
     def compact(self, files: int, *, cluster: list[str] | None = None) -> Commit:
         """Rewrite into about ``files`` files, in the order of ``cluster`` if given."""
         base = self.commit_of()
-        before = self.detail()["numFiles"]
+        before = self.detail(base)["numFiles"]
         physical = [base.physical.get(c, c) for c in cluster or []]
-        folder = self._folder(self._ours(self.read(), base), cluster=physical or None, files=files)
+        folder = self._folder(self._ours(self._rows(base), base), cluster=physical or None, files=files)
         props = base.properties | ({"clusterBy": ",".join(cluster)} if cluster else {})
-        return self._next("OPTIMIZE", base, schema=self.schema(), folders=[folder], metrics={"numRemovedFiles": before, "numOutputRows": self._stats(folder)}, properties=props)
+        return self._next("OPTIMIZE", base, schema=self._schema(base), folders=[folder], metrics={"numRemovedFiles": before, "numOutputRows": self._stats(folder)}, properties=props)
 
     def vacuum(self, *, retain_hours: float = 168, dry_run: bool = True, enforce: bool = True) -> list[str]:
         """Folders that no version of the retention time needs; deleted unless dry."""
@@ -318,11 +446,11 @@ class VersionedTable:
         now, have = time.time() * 1000, self.versions()
         since = now - retain_hours * 3_600_000
         commits = [self.commit_of(v) for v in have]
-        live = {f for i, c in enumerate(commits) if i == len(commits) - 1 or commits[i + 1].timestamp_ms >= since for f in c.folders}
+        live = {f for i, c in enumerate(commits) if i == len(commits) - 1 or commits[i + 1].timestamp_ms >= since for f in [*c.folders, *c.ledger]}
         gone = []
         for s in self._fs.listStatus(self._Path(self.path)):
             name = s.getPath().getName()
-            if name.startswith("data-") and name not in live and s.getModificationTime() <= since:
+            if name.startswith(("data-", "ledger-")) and name not in live and s.getModificationTime() <= since:
                 gone.append(name)
                 if not dry_run:
                     self._fs.delete(s.getPath(), True)

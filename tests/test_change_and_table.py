@@ -175,3 +175,62 @@ def test_delete_compact_vacuum(spark, path):
     assert len(t.vacuum(retain_hours=-1, enforce=False)) == 3
     t.vacuum(retain_hours=-1, dry_run=False, enforce=False)
     assert t.fingerprint() == before
+
+
+def test_a_racing_writer_is_not_overwritten(spark, path, monkeypatch):
+    """A commit between planning and publishing makes every planned write fail."""
+    t = VersionedTable(spark, path)
+    t.overwrite(products(spark, BASE))
+    other = VersionedTable(spark, path)
+    folder, racing = t._folder, []
+
+    def slow(*args, **how):
+        name = folder(*args, **how)
+        if not racing:
+            racing.append(other.append(products(spark, [(f"R{other.commit_of().version}", "raced", 1.0)])))
+        return name
+
+    monkeypatch.setattr(t, "_folder", slow)
+    for write in (lambda: t.merge(products(spark, CHANGED), keys=["stock_code"]), lambda: t.insert_new(products(spark, CHANGED), ["stock_code"]), lambda: t.delete("stock_code = '71053'"), lambda: t.compact(1), lambda: t.append(products(spark, CHANGED))):
+        racing.clear()
+        with pytest.raises(ConcurrentCommit):
+            write()
+    assert t.read().count() == 2 + 5 and t.read().filter("description = 'raced'").count() == 5
+
+
+def test_torn_entry_is_skipped(spark, path, tmp_path):
+    t = VersionedTable(spark, path)
+    t.overwrite(spark.createDataFrame([(1,)], "k int"))
+    (tmp_path / "t" / "_log" / f"{1:020d}.json").write_text('{"version": 1, "time')
+    assert t.read().count() == 1 and t.versions() == [0]
+    t.append(spark.createDataFrame([(2,)], "k int"))
+    assert t.read().count() == 2 and t.versions() == [0, 2]
+
+
+def test_many_appends_are_one_scan(spark, path):
+    t = VersionedTable(spark, path)
+    for i in range(13):
+        t.append(spark.createDataFrame([(i, "x")], "k int, v string"))
+    t.append(spark.createDataFrame([(13, "x")], "k bigint, v string"), merge_schema=True)
+    assert sorted(r.k for r in t.read().collect()) == list(range(14))
+    assert t.read()._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 1
+    assert "Union" not in t.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert [sorted(r.k for r in rows.collect()) for _, rows in t.appended(11)] == [[12], [13]]
+    t.compact(1)
+    assert t.appended(13) == [] and t.read(3).count() == 4
+
+
+def test_create_as_with_properties_and_partitions(spark, path):
+    t = VersionedTable(spark, path)
+    t.create_as(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), properties={"owner": "me"}, partition_by=["v"])
+    t.append(spark.createDataFrame([(3, "c")], "k int, v string"))
+    assert t.detail()["properties"] == {"owner": "me"} and sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    with pytest.raises(FileExistsError):
+        t.create_as(spark.createDataFrame([(1,)], "k int"))
+
+
+def test_numbered_batches_are_taken_once(spark, path):
+    t = VersionedTable(spark, path)
+    for number in (0, 0, 1, 0, 1):
+        t.append(spark.createDataFrame([(number,)], "k int"), batch=("app", number))
+    assert sorted(r.k for r in t.read().collect()) == [0, 1]

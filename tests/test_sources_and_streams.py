@@ -72,13 +72,74 @@ def test_csv_stream(spark, base):
     assert sorted((r.id, r.n) for r in target.read().collect()) == [(1, 5), (2, None)]
 
 
+def test_csv_stream_keeps_quoted_line_breaks_and_other_headers(spark, base):
+    landing.write_atomic(base / "in", "a.csv", 'id,note\n1,"two\nlines, ""said"" x"\n2,\n')
+    landing.write_atomic(base / "in", "b.csv", "note,id\nswapped,3\n")
+    landing.write_atomic(base / "in", "c.csv", "id,note\n4,a,too many\n")
+    target, load = loader(spark, base, kind="csv", hints=T._parse_datatype_string("id bigint, note string"))
+    load()
+    rows = {r.id: r for r in target.read().collect()}
+    assert rows[1].note == 'two\nlines, "said" x' and rows[2].note is None and rows[3].note == "swapped"
+    assert rows[4]._corrupt_record == "4,a,too many" and rows[1]._corrupt_record is None and len(rows) == 4
+
+
+def test_malformed_json_is_kept(spark, base):
+    landing.write_atomic(base / "in", "a.json", '{"id": 1, "n": 2}\n{"id": 2, "n"\n[3]\nplain\n\n')
+    target, load = loader(spark, base)
+    load()
+    assert sorted(r._corrupt_record or "" for r in target.read().collect()) == ["", "[3]", "plain", '{"id": 2, "n"']
+    rescue, again = loader(spark, base, mode="rescue", checkpoint=f"file://{base}/cp2", target=VersionedTable(spark, f"file://{base}/t2"))
+    again()
+    got = VersionedTable(spark, f"file://{base}/t2").read()
+    assert {json.loads(r._rescued_data)["_corrupt_record"] for r in got.filter("id IS NULL").collect()} == {"[3]", "plain", '{"id": 2, "n"'}
+
+
+def test_a_batch_that_was_committed_is_not_loaded_again(spark, base):
+    import shutil
+
+    drop(base / "in", "a.json", [{"id": 1, "n": 5}])
+    target, load = loader(spark, base)
+    load()
+    # A crash after the commit and before the checkpoint's own: the batch runs again.
+    for f in (base / "cp" / "commits").iterdir():
+        f.unlink()
+    load()
+    assert target.read().count() == 1
+    shutil.rmtree(base / "cp")
+
+
+def test_many_new_fields_settle_at_once(spark, base):
+    drop(base / "in", "a.json", [{"id": 1, **{f"f{k}": k for k in range(1500)}}])
+    target, load = loader(spark, base)
+    incremental.load_until_settled(load, retries=1)
+    assert len(target.read().columns) == 1504
+
+
 def test_copy_into(spark, base):
     landing.write_atomic(base / "in", "a.csv", "id,n\n1,5\n")
-    t, ledger = VersionedTable(spark, f"file://{base}/t"), VersionedTable(spark, f"file://{base}/ledger")
-    run = lambda: incremental.copy_into(spark, t, ledger, lambda: readers.csv_strings(spark, f"file://{base}/in"), select=["cast(id as int) AS id"])
+    t = VersionedTable(spark, f"file://{base}/t")
+    read = lambda paths: spark.read.option("header", True).csv(paths)
+    run = lambda **how: incremental.copy_into(spark, t, f"file://{base}/in", read, select=["cast(id as int) AS id"], **how)
     assert run() == {"files": 1, "rows": 1} and run() == {"files": 0, "rows": 0}
     landing.write_atomic(base / "in", "b.csv", "id,n\n2,6\n")
-    assert run() == {"files": 1, "rows": 1} and t.read().count() == 2
+    landing.write_atomic(base / "in", "c.csv", "id,n\n3,6\n")
+    assert run(max_files=1) == {"files": 2, "rows": 2} and t.read().count() == 3
+    assert t.loaded().count() == 3 and run(force=True)["files"] == 3
+
+
+def test_copy_into_is_one_commit(spark, base, monkeypatch):
+    landing.write_atomic(base / "in", "a.csv", "id\n1\n")
+    t = VersionedTable(spark, f"file://{base}/t")
+    run = lambda: incremental.copy_into(spark, t, f"file://{base}/in", lambda p: spark.read.option("header", True).csv(p))
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    monkeypatch.setattr(VersionedTable, "_write_log", crash)
+    with pytest.raises(RuntimeError):
+        run()
+    monkeypatch.undo()
+    assert run() == {"files": 1, "rows": 1} and run() == {"files": 0, "rows": 0} and t.read().count() == 1
 
 
 def test_readers(spark, base):
