@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql.window import Window
 
 from .scalar import blank
 
+if TYPE_CHECKING:
+    from stratum.operators.table import VersionedTable
+
 VALID, REJECTED = "VALID", "REJECTED"
 #: Columns of a retail source row, which also identify duplicates.
 RETAIL_COLUMNS = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country"]
@@ -101,9 +105,22 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     )
 
 
+def store_quarantine(table: VersionedTable, rejected: DataFrame, *, record_id: str = "_bronze_record_id") -> dict[str, int]:
+    """Upsert rejected rows by their id, so that storing them again adds none; the commit's counts.
+
+    Columns other than the store's raise before anything is written.
+    """
+    rows = quarantine_rows(rejected, record_id=record_id).withColumn("_quarantined_at", F.current_timestamp())
+    if not table.exists():
+        return table.overwrite(rows, operation="MERGE").metrics
+    if odd := sorted(set(rows.columns) ^ set(table.schema().names)):
+        raise ValueError(f"columns differ from the store's: {odd}")
+    return table.merge(rows, keys=["_quarantine_record_id"]).metrics
+
+
 def quarantine_rows(rejected: DataFrame, *, record_id: str = "_bronze_record_id") -> DataFrame:
     """Rejected rows under an id of record and contract: storing them again adds none."""
-    return rejected.withColumn("_quarantine_id", F.sha2(F.concat_ws("||", F.col(record_id).cast("string"), "_quality_contract_version"), 256))
+    return rejected.withColumn("_quarantine_record_id", F.sha2(F.concat_ws("||", F.col(record_id).cast("string"), "_quality_contract_version"), 256))
 
 
 # -- expectations ------------------------------------------------------------

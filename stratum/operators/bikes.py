@@ -44,7 +44,7 @@ def _pct(part: str) -> Column:
 
 def enriched(statuses: DataFrame, stations: DataFrame) -> DataFrame:
     """Status with the station's description, for streams and tables alike."""
-    ref = stations.select("station_id", "station_name", "latitude", "longitude", "region_id", "capacity", F.lit(True).alias("_hit"))
+    ref = stations.select("station_id", "station_name", "short_name", "latitude", "longitude", "region_id", "capacity", F.lit(True).alias("_hit"))
     out = statuses.join(ref, "station_id", "left").withColumn("station_reference_matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
     return out.withColumns({"bike_availability_pct": _pct("num_bikes_available"), "dock_availability_pct": _pct("num_docks_available")})
 
@@ -52,7 +52,7 @@ def enriched(statuses: DataFrame, stations: DataFrame) -> DataFrame:
 def summary(rows: DataFrame) -> DataFrame:
     """One row per station. Utilisation follows from the rounded average."""
     avg = lambda c, n: F.round(F.avg(c), 2).alias(n)
-    out = rows.groupBy("station_id", "station_name", "latitude", "longitude", "region_id", "capacity").agg(
+    out = rows.groupBy("station_id", "station_name", "short_name", "latitude", "longitude", "region_id", "capacity").agg(
         F.count("*").alias("observation_count"),
         F.min("last_reported_at").alias("first_reported_at"),
         F.max("last_reported_at").alias("latest_reported_at"),

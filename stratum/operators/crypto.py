@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.functions.scalar import from_epoch_micros, guarded_ratio
+from stratum.functions.scalar import guarded_ratio
 
 from .change import latest_by
 
 #: The candle file's columns, and the two versions of a tick.
-KLINE_SCHEMA = "open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_asset_volume double, number_of_trades bigint, taker_buy_base_asset_volume double, taker_buy_quote_asset_volume double, ignore string"
-TICK_V1 = "event_id string, symbol string, price double, quantity double, event_time string, source_system string"
-TICK_V2 = TICK_V1 + ", bid_price double, ask_price double, spread double, volume_24h double"
+KLINE_SCHEMA = "open_time_raw bigint, open double, high double, low double, close double, volume double, close_time_raw bigint, quote_asset_volume double, number_of_trades bigint, taker_buy_base_asset_volume double, taker_buy_quote_asset_volume double, ignore string"
+TICK_V1 = "event_id string, symbol string, price_usd double, event_time string, producer_id string, source_system string"
+EXTRA = ["change_pct_24h", "high_price_24h", "low_price_24h", "volume_24h"]
+TICK_V2 = TICK_V1 + "".join(f", {c} double" for c in EXTRA)
 
 
-def bronze_klines(raw: DataFrame, *, interval: str = "1d", source_system: str = "exchange") -> DataFrame:
+def bronze_klines(raw: DataFrame, *, interval: str = "1d", source_system: str = "binance_historical") -> DataFrame:
     """Candles with times from microseconds and the symbol from the file's name.
 
-    ``raw`` must be a file scan, for its hidden metadata.
+    ``raw`` must be a file scan, for its hidden metadata. The record id is of
+    symbol and raw opening time.
     """
-    name = F.col("_metadata.file_name")
-    rows = raw.select(F.regexp_extract(name, r"^([A-Z0-9]+)-", 1).alias("symbol"), F.lit(interval).alias("interval"), *[from_epoch_micros(F.col(c)).alias(c) if c in ("open_time", "close_time") else F.col(c) for c in raw.columns if c != "ignore"], name.alias("source_file_name"))
-    key = F.sha2(F.concat_ws("||", "symbol", "interval", F.col("open_time").cast("string")), 256)
-    return rows.withColumns({"record_id": key, "source_system": F.lit(source_system), "ingested_at": F.current_timestamp()})
+    name, symbol = F.col("_metadata.file_name"), F.regexp_extract(F.col("_metadata.file_name"), r"^([A-Z0-9]+)-1d-", 1)
+    second = lambda c: F.timestamp_seconds(F.floor(F.col(c) / 1_000_000))
+    amounts = ["open", "high", "low", "close", "volume", "quote_asset_volume", "number_of_trades", "taker_buy_base_asset_volume", "taker_buy_quote_asset_volume"]
+    return raw.select(
+        F.sha2(F.concat_ws("|", symbol, F.col("open_time_raw").cast("string")), 256).alias("record_id"),
+        symbol.alias("symbol"),
+        F.lit(interval).alias("interval"),
+        second("open_time_raw").alias("open_time"),
+        second("close_time_raw").alias("close_time"),
+        *amounts,
+        "open_time_raw",
+        "close_time_raw",
+        F.lit(source_system).alias("source_system"),
+        name.alias("source_file_name"),
+        F.col("_metadata.file_path").alias("source_file_path"),
+        F.current_timestamp().alias("ingested_at"),
+    )
 
 
 def silver_klines(rows: DataFrame) -> DataFrame:
@@ -47,31 +62,57 @@ def silver_klines(rows: DataFrame) -> DataFrame:
 
 def parse_ticks(messages: DataFrame, *, evolved: bool = False) -> tuple[DataFrame, DataFrame]:
     """Ticks parsed from ``value``: those with id, symbol, time and a positive price, and the rest."""
-    parsed = messages.withColumn("raw", F.col("value").cast("string")).withColumn("t", F.from_json("raw", TICK_V2 if evolved else TICK_V1))
-    rows = parsed.select("t.*", "raw", F.col("partition").alias("message_partition"), F.col("offset").alias("message_offset"), F.col("timestamp").alias("enqueued_at")).withColumn("event_time", F.try_to_timestamp("event_time"))
-    ok = F.coalesce(F.col("event_id").isNotNull() & F.col("symbol").isNotNull() & F.col("event_time").isNotNull() & (F.col("price") > 0), F.lit(False))
-    return rows.filter(ok), rows.filter(~ok)
+    parsed = messages.withColumn("raw_json", F.col("value").cast("string")).withColumn("t", F.from_json("raw_json", TICK_V2 if evolved else TICK_V1))
+    rows = parsed.select("t.*", F.col("partition").alias("eventhub_partition"), F.col("offset").alias("eventhub_offset"), F.col("timestamp").alias("eventhub_enqueued_at"), "raw_json", F.current_timestamp().alias("ingested_at"))
+    rows = rows.withColumn("event_time", F.try_to_timestamp("event_time"))
+    return rows.filter(_sound_tick()), rows.filter(~_sound_tick())
+
+
+def _sound_tick() -> Column:
+    whole = F.col("event_id").isNotNull() & F.col("symbol").isNotNull() & F.col("event_time").isNotNull()
+    return F.coalesce(whole & (F.col("price_usd") > 0), F.lit(False))
 
 
-def silver_ticks(rows: DataFrame, *, ingested: str = "enqueued_at") -> DataFrame:
-    """Ticks once by event, then once by place in the stream, with minute and delay."""
-    once = latest_by(rows, ["event_id"], [ingested, "message_offset"])
-    twice = latest_by(once, ["message_partition", "message_offset"], [ingested, "event_id"])
-    delay = F.col(ingested).cast("timestamp").cast("long") - F.col("event_time").cast("timestamp").cast("long")
-    return twice.withColumns({"event_minute": F.date_trunc("minute", "event_time"), "ingestion_delay_seconds": delay, "is_evolved": F.col("bid_price").isNotNull() if "bid_price" in rows.columns else F.lit(False)})
+def silver_ticks(rows: DataFrame) -> DataFrame:
+    """Sound ticks once by event, then once by place in the stream, with date, minute and delay.
+
+    Fields of the second version are null where the table has none.
+    """
+    wide = rows.filter(_sound_tick()).withColumns({c: F.lit(None).cast("double") for c in EXTRA if c not in rows.columns})
+    once = latest_by(wide, ["event_id"], ["ingested_at", "eventhub_offset"])
+    twice = latest_by(once, ["eventhub_partition", "eventhub_offset"], ["ingested_at", "event_id"])
+    delay = F.col("ingested_at").cast("timestamp").cast("long") - F.col("event_time").cast("timestamp").cast("long")
+    out = twice.withColumns({"event_date": F.to_date("event_time"), "event_minute": F.date_trunc("minute", "event_time"), "ingestion_delay_seconds": delay})
+    first = ["event_id", "symbol", "price_usd", "event_time", "event_date", "event_minute", *EXTRA]
+    return out.select(*first, *[c for c in ("producer_id", "source_system", "eventhub_partition", "eventhub_offset", "eventhub_enqueued_at", "ingested_at", "ingestion_delay_seconds") if c in out.columns])
+
+
+def _pct(part: Column, whole: Column) -> Column:
+    return guarded_ratio(part - whole, whole) * 100
 
 
 def latest_prices(klines: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Per symbol the last tick, or the last close where there is none."""
-    h = klines.groupBy("symbol").agg(F.max_by("close", "open_time").alias("close_price"), F.max("open_time").alias("close_at"))
-    s = ticks.groupBy("symbol").agg(F.max_by("price", F.struct("event_time", "event_id")).alias("tick_price"), F.max("event_time").alias("tick_at"))
-    both = h.join(s, "symbol", "full")
-    moved = F.col("tick_price") - F.col("close_price")
-    return both.select("symbol", F.coalesce("tick_price", "close_price").alias("latest_price"), F.coalesce("tick_at", "close_at").alias("latest_at"), F.when(F.col("tick_price").isNotNull(), "STREAMING").otherwise("HISTORICAL").alias("price_source"), "close_price", (guarded_ratio(moved, F.col("close_price")) * 100).alias("change_from_close_pct"))
+    """The last tick of each symbol beside its last close; symbols without ticks have no row."""
+    live = latest_by(ticks.select("symbol", "event_time", "ingested_at", "price_usd", *EXTRA), ["symbol"], ["event_time", "ingested_at"])
+    last = klines.groupBy("symbol").agg(F.max(F.struct("open_time", "ingested_at", "trade_date", "close", "price_change_pct")).alias("k"))
+    both = live.join(last, "symbol", "left")
+    price, close = F.col("price_usd"), F.col("k.close")
+    return both.select(
+        "symbol",
+        price.alias("latest_live_price"),
+        F.col("event_time").alias("latest_live_event_time"),
+        F.col("k.trade_date").alias("latest_historical_date"),
+        close.alias("latest_historical_close"),
+        F.col("k.price_change_pct").alias("latest_historical_change_pct"),
+        (price - close).alias("price_difference"),
+        _pct(price, close).alias("price_difference_pct"),
+        *EXTRA,
+        F.current_timestamp().alias("gold_updated_at"),
+    )
 
 
 def market_summary(klines: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Per symbol the period's candles and the ticks; one aggregate for each."""
+    """Per symbol the period's candles, the ticks and the latest price; symbols without candles have no row."""
     way = lambda d: F.count_if(F.col("candle_direction") == d)
     h = klines.groupBy("symbol").agg(
         F.min("trade_date").alias("historical_start_date"),
@@ -87,9 +128,21 @@ def market_summary(klines: DataFrame, ticks: DataFrame) -> DataFrame:
         way("BEARISH").alias("bearish_days"),
         way("NEUTRAL").alias("neutral_days"),
     )
-    h = h.withColumn("historical_return_pct", guarded_ratio(F.col("last_close_price") - F.col("first_open_price"), F.col("first_open_price")) * 100)
-    s = ticks.groupBy("symbol").agg(F.count("*").alias("streaming_event_count"), F.min("event_time").alias("first_streaming_event_time"), F.max("event_time").alias("latest_streaming_event_time"), F.min("price").alias("minimum_live_price"), F.max("price").alias("maximum_live_price"), F.avg("price").alias("average_live_price"), F.avg("ingestion_delay_seconds").alias("average_ingestion_delay_seconds"), F.count_if("is_evolved").alias("evolved_event_count"))
-    return h.join(s, "symbol", "full")
+    h = h.withColumn("historical_return_pct", _pct(F.col("last_close_price"), F.col("first_open_price")))
+    s = ticks.groupBy("symbol").agg(
+        F.count("*").alias("streaming_event_count"),
+        F.min("event_time").alias("first_streaming_event_time"),
+        F.max("event_time").alias("latest_streaming_event_time"),
+        F.min("price_usd").alias("streaming_minimum_price"),
+        F.max("price_usd").alias("streaming_maximum_price"),
+        F.avg("price_usd").alias("streaming_average_price"),
+        F.avg("ingestion_delay_seconds").alias("average_ingestion_delay_seconds"),
+        F.count("change_pct_24h").alias("evolved_event_count"),
+    )
+    latest = latest_prices(klines, ticks).select("symbol", "latest_live_price", "latest_live_event_time", "price_difference", "price_difference_pct", *EXTRA)
+    out = h.join(s, "symbol", "left").join(latest, "symbol", "left")
+    price, high, low = F.col("latest_live_price"), F.col("period_maximum_high"), F.col("period_minimum_low")
+    return out.withColumns({"historical_price_range": high - low, "latest_vs_period_high_pct": _pct(price, high), "latest_vs_period_low_pct": _pct(price, low), "gold_updated_at": F.current_timestamp()})
 
 
 def ohlc_violations(rows: DataFrame) -> DataFrame:

@@ -32,16 +32,24 @@ def mask_columns(df: DataFrame, columns: list[str], *, privileged: bool, mask: s
 def secure_view(spark: SparkSession, name: str, table: str, *, mapping: str | None = None, column: str | None = None, masked: list[str] | None = None, privileged: list[str] | None = None) -> None:
     """A temporary view that applies filter and masks for the session's user.
 
-    The filter is an EXISTS, which becomes a semi join.
+    The filter is IN, an existence join on equality; whether the user may see all
+    is a scalar asked once, so there is no join on a disjunction.
     """
     allowed = "false" if not privileged else f"session_user() IN ({', '.join(map(quote_lit, privileged))})"
     cols = [f"CASE WHEN t.{quote_ident(c)} IS NULL THEN NULL WHEN {allowed} THEN CAST(t.{quote_ident(c)} AS STRING) ELSE {quote_lit(MASK)} END AS {quote_ident(c)}" if c in (masked or []) else f"t.{quote_ident(c)}" for c in spark.table(table).columns]
     where = ""
     if mapping and column:
-        where = f" WHERE EXISTS (SELECT 1 FROM {quote_ident(mapping)} m WHERE m.user_name = session_user() AND (m.allowed_value = '*' OR m.allowed_value = CAST(t.{quote_ident(column)} AS STRING)))"
+        mine = f"SELECT CAST(m.allowed_value AS STRING) FROM {quote_ident(mapping)} m WHERE m.user_name = session_user()"
+        every = f"(SELECT count(*) FROM {quote_ident(mapping)} m WHERE m.user_name = session_user() AND m.allowed_value = '*') > 0"
+        where = f" WHERE {every} OR CAST(t.{quote_ident(column)} AS STRING) IN ({mine})"
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {quote_ident(name)} AS SELECT {', '.join(cols)} FROM {quote_ident(table)} t{where}")
 
 
+def scalar_function(spark: SparkSession, name: str, parameters: str, body: str) -> None:
+    """A temporary SQL function, ``CREATE FUNCTION name (parameters) RETURN body``, inlined where it is used."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {quote_ident(name)} ({parameters}) RETURN {body}")
+
+
 def round_trip(df: DataFrame, mapping: DataFrame, *, user: str, column: str, value: str) -> dict[str, int]:
     """Counts that show a filter at work: all rows, one value's, and those seen under it."""
     spark = df.sparkSession

@@ -47,26 +47,42 @@ def strip_suffix(column: str, suffix: str) -> Column:
     return F.regexp_replace(column, f"{suffix}$", "")
 
 
-def controlled_batches(source: DataFrame, *, number: str = "_source_row_number", sample: int = 100) -> dict[str, DataFrame]:
-    """Seven batches for exercising a pipeline, by hash of the row number.
+#: Rows of the batches that are samples.
+EVOLVED, INVALID, MISMATCHED, PRODUCTS = 5000, 500, 1000, 500
 
-    ``initial`` holds eight tenths and ``incremental`` the rest; the others are
-    the first ``sample`` rows of the latter, with columns added, values broken,
-    a type changed, a column widened, or products altered.
+
+def controlled_batches(source: DataFrame, *, number: str = "_source_row_number", effective_at: str = "2012-01-01 00:00:00") -> dict[str, DataFrame]:
+    """Seven batches for exercising a pipeline.
+
+    ``initial`` holds eight tenths by hash of the row number and ``incremental``
+    the rest. Of the rest's first rows are made ``evolved`` and
+    ``schema_evolution`` (two columns more), ``invalid`` (price, country and
+    description broken) and ``schema_mismatch`` (a number as text).
+    ``scd_changes`` renames and reprices the first products, each by its latest row.
     """
     initial, rest = source.filter(bucket(number) < 8), source.filter(bucket(number) >= 8)
-    some = rest.orderBy(number).limit(sample)
-    tier = F.element_at(F.array(F.lit("STANDARD"), F.lit("SILVER"), F.lit("GOLD")), (F.pmod(F.col(number), F.lit(3)) + 1).cast("int"))
-    channel = F.element_at(F.array(F.lit("ONLINE"), F.lit("MARKETPLACE"), F.lit("DIRECT")), (F.pmod(F.col(number), F.lit(3)) + 1).cast("int"))
-    broken = F.pmod(F.col(number), F.lit(3))
+    first = lambda n: rest.orderBy(number).limit(n)
+    more = {"SalesChannel": F.lit("online"), "PromotionCode": F.when(bucket(number, 2) == 0, "WELCOME10")}
+    evolved = first(EVOLVED).withColumns(more)
+    broken = {"Description": F.lit(None).cast("string"), "UnitPrice": F.lit(-1.0), "Country": F.lit(""), "_test_scenario": F.lit("deliberate_quality_violation")}
+    # The latest row of a product; of several the first by description, null last.
+    late = F.struct(F.col("InvoiceDate").isNull().alias("undated"), (-F.unix_timestamp("InvoiceDate")).alias("at"), F.col("Description").isNull().alias("unnamed"), "Description", "UnitPrice")
+    products = source.filter(F.col("StockCode").isNotNull()).groupBy("StockCode").agg(F.min(late).alias("p")).orderBy("StockCode").limit(PRODUCTS)
+    changes = products.select(
+        "StockCode",
+        F.concat(F.coalesce("p.Description", F.lit("Unknown product")), F.lit(" - UPDATED")).alias("Description"),
+        F.round(F.coalesce("p.UnitPrice", F.lit(0.0)) * 1.05, 2).alias("UnitPrice"),
+        F.lit(effective_at).cast("timestamp").alias("change_effective_at"),
+        F.lit("Lab 4 controlled product update").alias("change_reason"),
+    )
     return {
         "initial": initial,
         "incremental": rest,
-        "evolved": some.withColumn("loyalty_tier", tier).withColumn("sales_channel", channel),
-        "invalid": some.withColumns({"Quantity": F.when(broken == 0, -F.abs("Quantity")).otherwise(F.col("Quantity")), "UnitPrice": F.when(broken == 1, F.lit(0.0)).otherwise(F.col("UnitPrice")), "CustomerID": F.when(broken == 2, F.lit(None)).otherwise(F.col("CustomerID"))}),
-        "schema_mismatch": some.withColumn("Quantity", F.concat(F.lit("invalid_"), F.col("Quantity").cast("string"))),
-        "schema_evolution": some.withColumn("Quantity", F.col("Quantity").cast("bigint")),
-        "scd_changes": some.dropDuplicates(["StockCode"]).withColumns({"Description": F.concat(F.trim("Description"), F.lit(" - UPDATED")), "UnitPrice": F.round(F.col("UnitPrice") * 1.1, 2), "InvoiceDate": F.expr("InvoiceDate + INTERVAL 365 DAYS")}),
+        "evolved": evolved,
+        "invalid": first(INVALID).withColumns(broken),
+        "schema_mismatch": first(MISMATCHED).withColumn("Quantity", F.col("Quantity").cast("string")),
+        "schema_evolution": evolved,
+        "scd_changes": changes,
     }
 
 

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from stratum.functions.scalar import guarded_ratio, iso_weekday
 
 MONEY = "decimal(18,2)"
-#: Rows of a dimension's lookup side up to which it is broadcast without asking the optimiser.
-LOOKUP_ROWS = 1_000_000
+#: Bytes of a dimension's lookup side up to which it is broadcast.
+LOOKUP_BYTES = 64 << 20
 
 
 def lookup(df: DataFrame) -> DataFrame:
-    """A dimension as a join side: broadcast behind a count, else by shuffle."""
-    return F.broadcast(df) if df.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else df
+    """A dimension as a join side: broadcast if the optimiser's estimate of its bytes allows
+    it, which costs no job; else as it is, for the optimiser to choose."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(size) <= LOOKUP_BYTES else df
 
 
 def date_dimension(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -124,20 +126,33 @@ def fact_encounters(prepared: DataFrame, dims: dict[str, DataFrame]) -> DataFram
     return out.select(*first, *[c for c in prepared.columns if c != "encounter_id"])
 
 
+def prepare_conditions(source: DataFrame) -> DataFrame:
+    """Condition events, each distinct one once, under a key of all its parts."""
+    days = {"condition_start_date": "START", "condition_stop_date": "STOP"}
+    text = {"patient_id": "PATIENT", "encounter_id": "ENCOUNTER", "condition_code": "CODE", "condition_description": "DESCRIPTION"}
+    events = source.select(*[F.to_date(F.try_to_timestamp(s)).alias(n) for n, s in days.items()], *[F.col(s).alias(n) for n, s in text.items()]).distinct()
+    return events.withColumn("condition_event_key", surrogate(*map(F.col, text), F.col("condition_start_date").cast("string"), F.coalesce(F.col("condition_stop_date").cast("string"), F.lit(""))))
+
+
+def condition_quality(prepared: DataFrame) -> DataFrame:
+    """One row on the condition events before they are loaded."""
+    none = lambda c: F.count_if(F.col(c).isNull())
+    out = prepared.agg(F.count("*").alias("row_count"), F.countDistinct("condition_event_key").alias("distinct_event_keys"), none("condition_event_key").alias("null_event_keys"), none("patient_id").alias("null_patient_ids"), none("condition_code").alias("null_condition_codes"), none("condition_start_date").alias("invalid_start_dates"))
+    bad = (F.col("row_count") != F.col("distinct_event_keys")) | (F.col("null_event_keys") + F.col("null_patient_ids") + F.col("null_condition_codes") + F.col("invalid_start_dates") > 0)
+    return out.withColumn("status", F.when(bad, "FAIL").otherwise("PASS"))
+
+
 def fact_conditions(source: DataFrame, dims: dict[str, DataFrame], encounters: DataFrame) -> DataFrame:
-    """Condition events: exact repeats removed, keys looked up, activity and duration.
+    """Condition events with their keys looked up, activity and duration.
 
     The condition is looked up by code and description together.
     """
-    cols = ["START", "STOP", "PATIENT", "ENCOUNTER", "CODE", "DESCRIPTION"]
-    events = source.select(*[F.trim(c).alias(c) for c in cols]).distinct()
-    key = surrogate(*[F.col(c) for c in ("START", "PATIENT", "ENCOUNTER", "CODE", "DESCRIPTION")], F.coalesce("STOP", F.lit("")))
-    events = events.select(key.alias("condition_event_key"), F.col("PATIENT").alias("patient_id"), F.col("ENCOUNTER").alias("encounter_id"), F.col("CODE").alias("condition_code"), F.col("DESCRIPTION").alias("condition_description"), F.to_date(F.try_to_timestamp("START")).alias("condition_start_date"), F.to_date(F.try_to_timestamp("STOP")).alias("condition_stop_date"))
-    out = events.join(lookup(dims["condition"]), ["condition_code", "condition_description"], "left")
+    out = prepare_conditions(source).join(lookup(dims["condition"].select("condition_key", "condition_code", "condition_description")), ["condition_code", "condition_description"], "left")
     out = out.join(lookup(dims["patient"].select("patient_key", "patient_id")), "patient_id", "left")
     out = out.join(encounters.select("encounter_key", "encounter_id"), "encounter_id", "left")
-    out = out.join(lookup(dims["date"].select(F.col("date_key").alias("start_date_key"), F.col("calendar_date").alias("condition_start_date"))), "condition_start_date", "left")
-    return out.withColumns({"is_active_condition": F.col("condition_stop_date").isNull(), "condition_duration_days": F.datediff("condition_stop_date", "condition_start_date")})
+    out = out.join(lookup(dims["date"].select(F.col("date_key").alias("condition_start_date_key"), F.col("calendar_date").alias("condition_start_date"))), "condition_start_date", "left")
+    out = out.withColumns({"is_active_condition": F.col("condition_stop_date").isNull(), "condition_duration_days": F.datediff("condition_stop_date", "condition_start_date")})
+    return out.select("condition_event_key", "patient_key", "condition_key", "condition_start_date_key", "encounter_key", "patient_id", "encounter_id", "condition_code", "condition_description", "condition_start_date", "condition_stop_date", "is_active_condition", "condition_duration_days")
 
 
 def foreign_key_gate(fact: DataFrame, keys: list[str]) -> None:

@@ -52,6 +52,9 @@ ENCOUNTERS = MetricView(
         "claim_cost": "round(sum(total_claim_cost), 2)",
         "coverage": "round(sum(payer_coverage), 2)",
         "responsibility": "round(sum(patient_responsibility), 2)",
+        "organizations": "count(DISTINCT organization_key)",
+        "avg_claim_cost": "round(avg(total_claim_cost), 2)",
+        "avg_duration_minutes": "round(avg(duration_minutes), 2)",
         "emergencies": "count_if(lower(encounter_class) = 'emergency')",
         "emergency_pct": "round(100.0 * MEASURE(emergencies) / MEASURE(encounters), 2)",
         "coverage_pct": "round(100.0 * sum(payer_coverage) / nullif(sum(total_claim_cost), 0), 2)",
@@ -74,7 +77,7 @@ def dashboard(fact: DataFrame, payers: DataFrame, conditions: DataFrame, *, star
         where = where & F.lower("encounter_class").isin(*[c.lower() for c in classes])
     q = lambda **k: ENCOUNTERS.query(fact, where=where, **k)
     return {
-        "overview": q(),
+        "overview": q(measures=["encounters", "patients", "organizations", "claim_cost", "coverage", "responsibility", "avg_claim_cost", "avg_duration_minutes", "emergency_pct"]).toDF("total_encounters", "unique_patients", "organizations", "total_claim_cost", "payer_coverage", "patient_responsibility", "avg_claim_cost", "avg_duration_minutes", "emergency_encounter_pct"),
         "daily_trend": q(by=["encounter_date"], measures=["encounters", "emergencies", "emergency_pct"], order_by=[F.col("encounter_date")]),
         "monthly_trend": q(by=["month"], measures=["encounters", "claim_cost"], order_by=[F.col("month")]),
         "class_summary": q(by=["encounter_class"], measures=["encounters", "patients", "claim_cost"], order_by=[F.desc("encounters")]),

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    from stratum.operators.table import VersionedTable
+
 TRIGGERS = {"availableNow": {"availableNow": True}, "once": {"once": True}}
 
 
@@ -27,6 +31,20 @@ def table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.readStream.schema(schema).parquet(path)
 
 
+def follow(source: VersionedTable, target: VersionedTable, name: str, transform: Callable[[DataFrame], DataFrame]) -> list[int]:
+    """Append to ``target`` what was appended to ``source`` since the last call; the versions taken.
+
+    Each version is a batch; its number is in the target's own commit, so a
+    rerun or a crash takes none twice. Rewrites of the source add no rows.
+    """
+    done = target.commit_of().batches.get(name, -1) if target.exists() else -1
+    taken = []
+    for version, rows in source.appended(done):
+        target.append(transform(rows), merge_schema=True, batch=(name, version))
+        taken.append(version)
+    return taken
+
+
 def append_to(df: DataFrame, path: str, checkpoint: str, *, trigger: str = "availableNow", wait: bool = True) -> object:
     """Append to a Parquet folder under a checkpoint: a rerun takes only what is new."""
     q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger_of(trigger)).start()
@@ -42,12 +60,12 @@ def upsert_each_batch(df: DataFrame, merge: Callable[[DataFrame], object], check
     return q
 
 
-def deduplicate(df: DataFrame, keys: list[str], *, event_time: str, delay: str = "1 day", bounded: bool = False) -> DataFrame:
+def deduplicate(df: DataFrame, keys: list[str], *, event_time: str, delay: str = "1 day", bounded: bool = True) -> DataFrame:
     """Drop events seen before and events later than the watermark.
 
-    By default a key is remembered for ever, so state grows with the keys.
-    ``bounded`` forgets a key when the watermark passes it; the same key may
-    then come out again.
+    A key is forgotten when the watermark passes it, so state is bounded by the
+    delay; the same key may then come out again. Without ``bounded`` a key is
+    remembered for ever, and state grows with the keys.
     """
     if dict(df.dtypes)[event_time] == "timestamp_ntz":
         df = df.withColumn(event_time, F.col(event_time).cast("timestamp"))

@@ -49,7 +49,7 @@ def test_fact_and_aggregates(spark):
     assert star.payer_coverage(zero, payer).first().coverage_pct is None
     assert float(star.payer_coverage(zero, payer, external=True).first().coverage_pct) == 0.0
     sets = metrics.dashboard(fact, star.payer_coverage(fact, payer), spark.createDataFrame([("c", 1, 1, 1)], "condition_description string, condition_event_count long, unique_patients long, active_condition_events long"), classes=["EMERGENCY"])
-    assert len(sets) == 7 and sets["overview"].first().encounters == 1
+    assert len(sets) == 7 and sets["overview"].first().total_encounters == 1 and sets["overview"].first().organizations == 1
     with pytest.raises(ValueError):
         star.foreign_key_gate(fact.withColumn("payer_key", F.lit(None)), ["payer_key"])
 
@@ -127,37 +127,77 @@ def test_bikes(spark):
     assert bikes.source_profile(status).first().row_count == 2
 
 
+#: A message as the feed sends it.
+MESSAGE = {
+    "$schema": "/mediawiki/recentchange/1.0.0",
+    "meta": {"id": "0a1b", "dt": "2026-07-01T10:00:00Z", "domain": "en.wikipedia.org", "stream": "mediawiki.recentchange", "topic": "t", "uri": "u", "request_id": "r"},
+    "id": 17, "type": "edit", "namespace": 0, "title": " Spark ", "title_url": "https://en.wikipedia.org/wiki/Spark", "comment": " typo ", "timestamp": 1782900000, "user": "Ann", "bot": True, "minor": True, "patrolled": False,
+    "server_name": "en.wikipedia.org", "wiki": "enwiki", "_producer_id": "p1", "_source_system": "wikimedia_recentchange", "_ingested_at_utc": "2026-07-01T10:00:05+00:00",
+}
+
+
 def test_events(spark):
-    ok = '{"id": 1, "type": "edit", "title": "T", "user": "u", "timestamp": 10, "source_system": "w", "meta": {"id": "m1"}}'
-    rows = spark.createDataFrame([(ok,), ("{broken",), (ok.replace('"T"', '" "'),)], "raw_event string")
-    got = events.classify(events.silver(rows), source_system="w").select("validation_result", "is_bot").collect()
-    assert [r[0] for r in got] == ["valid", "missing_event_id", "missing_title"] and got[0].is_bot is False
-    assert events.valid_events(events.silver(rows), source_system="w").count() == 2
+    import json
+
+    change = lambda **k: json.dumps(MESSAGE | k)
+    texts = [change(), change(meta={"id": "x"}), change(meta=None), change(type=None), change(wiki=None), change(title=None), change(title=" "), change(_source_system="other"), "{broken", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, raw_event string")
+    got = [r.validation_result for r in events.classify(rows).orderBy("n").collect()]
+    assert got == ["valid", "valid", "missing_event_id", "missing_change_type", "missing_wiki", "missing_title", "valid", "unexpected_source", "missing_event_id", "invalid_json"]
+    silver = events.silver(rows.filter("n = 0")).first()
+    assert (silver.event_id, silver.title, silver.comment, silver.user_name, silver.is_bot, silver.is_minor, silver.is_patrolled, silver.wiki_namespace, silver.revision_id) == ("0a1b", "Spark", "typo", "Ann", True, True, False, 0, 17)
+    assert silver.event_timestamp == dt.datetime(2026, 7, 1, 10) and silver.producer_ingested_at == dt.datetime(2026, 7, 1, 10, 0, 5) and silver.source_stream == "mediawiki.recentchange"
+    # The epoch stands in for a missing time; a blank title is null in silver.
+    assert events.valid_events(events.silver(rows)).count() == 2
 
 
 def test_crypto(spark, tmp_path):
     (tmp_path / "BTCUSDT-1d-2026.csv").write_text("".join(f"{t}000000,{o},{h},{lo},{c},1,{t + 9}000000,1,2,1,1,0\n" for t, o, h, lo, c in ((100, 1, 3, 1, 2), (100, 1, 3, 1, 2), (90000, 2, 1, 3, 2), (180000, 2, 4, 1, 1))))
     raw = spark.read.schema(crypto.KLINE_SCHEMA).option("mode", "FAILFAST").csv(f"file://{tmp_path}")
-    silver = crypto.silver_klines(crypto.bronze_klines(raw))
+    bronze = crypto.bronze_klines(raw)
+    import hashlib
+
+    first = bronze.filter("open_time_raw = 100000000").first()
+    assert first.record_id == hashlib.sha256(b"BTCUSDT|100000000").hexdigest() and first.source_file_path.endswith("BTCUSDT-1d-2026.csv") and first.open_time == dt.datetime(1970, 1, 1, 0, 1, 40)
+    silver = crypto.silver_klines(bronze)
     assert [(r.symbol, r.candle_direction) for r in silver.orderBy("open_time").collect()] == [("BTCUSDT", "BULLISH"), ("BTCUSDT", "BEARISH")]
-    msg = spark.createDataFrame([('{"event_id": "1", "symbol": "BTCUSDT", "price": 5, "event_time": "2026-01-01T00:00:01Z"}', 0, 1, dt.datetime(2026, 1, 1, 0, 0, 3)), ("x", 0, 2, None)], "value string, partition int, offset long, timestamp timestamp")
+    tick = '{"event_id": "%s", "symbol": "BTCUSDT", "price_usd": %s, "event_time": "2026-01-01T00:00:%02dZ", "producer_id": "p", "source_system": "coingecko"%s}'
+    at = dt.datetime(2026, 1, 1, 0, 0, 3)
+    msg = spark.createDataFrame([(tick % ("1", 5, 1, ""), 0, 1, at), (tick % ("2", 0, 2, ""), 0, 2, at), ("x", 0, 3, at), (tick % ("4", 7, 2, ', "change_pct_24h": 1.5, "high_price_24h": 8, "low_price_24h": 4, "volume_24h": 9'), 0, 4, at)], "value string, partition int, offset long, timestamp timestamp")
     good, bad = crypto.parse_ticks(msg)
-    assert (good.count(), bad.count()) == (1, 1)
-    ticks = crypto.silver_ticks(good)
-    assert ticks.first().ingestion_delay_seconds == 2
+    assert (good.count(), bad.count()) == (2, 2) and "price_usd" in good.columns
+    assert crypto.silver_ticks(good).filter("change_pct_24h IS NOT NULL").count() == 0
+    evolved, _ = crypto.parse_ticks(msg, evolved=True)
+    ticks = crypto.silver_ticks(evolved.withColumn("ingested_at", F.col("eventhub_enqueued_at")))
+    assert ticks.orderBy("event_id").first().ingestion_delay_seconds == 2 and ticks.first().event_date == dt.date(2026, 1, 1)
+    p = crypto.latest_prices(silver, ticks).first()
+    assert (p.latest_live_price, p.latest_historical_close, p.price_difference, p.price_difference_pct, p.high_price_24h) == (7.0, 1.0, 6.0, 600.0, 8.0)
     r = crypto.market_summary(silver, ticks).first()
-    assert (r.first_open_price, r.last_close_price, r.historical_return_pct, r.streaming_event_count) == (1.0, 1.0, 0.0, 1)
-    assert crypto.latest_prices(silver, ticks).first().price_source == "STREAMING"
-    assert crypto.ohlc_violations(crypto.bronze_klines(raw)).first().high_below_low == 1
+    assert (r.first_open_price, r.last_close_price, r.historical_return_pct, r.streaming_event_count, r.evolved_event_count) == (1.0, 1.0, 0.0, 2, 1)
+    assert (r.historical_price_range, r.latest_vs_period_low_pct, r.streaming_maximum_price) == (3.0, 600.0, 7.0)
+    assert crypto.ohlc_violations(bronze).first().high_below_low == 1
+    assert len(crypto.dashboard(silver, crypto.market_summary(silver, ticks), crypto.latest_prices(silver, ticks))) == 10
+
+
+PLAYER = "player_id int, player_name string, match_id int, team string, nationality string, position string, tournament_stage string, goals int, assists int, shots int, shots_on_target int, minutes_played int, expected_goals_xg double, pass_accuracy double, player_rating double, performance_score double, market_value_eur long, top_speed_kmh double, distance_covered_km double"
 
 
 def test_football_weather_taxi(spark):
-    stats = spark.createDataFrame([("p", "t", "f", None, 1, 0, 0, 90, 7.6)], "player string, team string, position string, goals int, assists int, shots int, shots_on_target int, minutes_played int, rating double")
-    s = sports.football_silver(stats, spark.createDataFrame([("t", "EU")], "team string, region string"), spark.createDataFrame([("f", "ATT")], "position string, position_group string"))
-    r = s.first()
-    assert (r.goal_contributions, r.shot_accuracy, r.performance_band) == (1, 0.0, "HIGH") and len(sports.football_gold(s)) == 5
-    doc = spark.createDataFrame([('{"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "temperature_2m": [1.0, 3.0], "precipitation": [0.0, 1.0], "wind_speed_10m": [5.0, 6.0]}',)], "v string").select(F.from_json("v", "time array<string>, temperature_2m array<double>, precipitation array<double>, wind_speed_10m array<double>").alias("hourly"))
-    assert sports.weather_daily(sports.weather_hours(doc)).first().avg_temperature == 2.0
+    row = lambda i, m, goals, minutes, rating, value: (i, f"P{i}", m, "t", "n", "f", "Final", goals, 1, 3, 2, minutes, 0.25, 80.0, rating, 5.0, value, 30.0, 9.0)
+    stats = spark.createDataFrame([row(1, 1, None, 90, 8.0, 80_000_000), row(1, 1, None, 90, 8.0, 80_000_000), row(1, 2, 2, 74, 7.99, 80_000_000), row(2, 1, 1, 29, None, 5)], PLAYER)
+    s = sports.football_silver(stats, spark.createDataFrame([("t", "EU")], "team string, region string"), spark.createDataFrame([("g", "GK")], "position string, position_group string"))
+    got = {(r.player_id, r.match_id): r for r in s.collect()}
+    a, b, c = got[1, 1], got[1, 2], got[2, 1]
+    assert (a.goal_contribution, a.shots_accuracy_pct, a.xg_overperformance, a.minutes_category, a.performance_band, a.position_group) == (1, 66.67, -0.25, "High minutes", "Excellent", "Unknown")
+    assert (b.minutes_category, b.performance_band, c.minutes_category, c.performance_band, c.player_rating) == ("Medium minutes", "Good", "Low minutes", "Needs improvement", 0.0)
+    gold = sports.football_gold(s)
+    assert set(gold) == {"team", "position", "players", "stage", "value"}
+    t = gold["team"].first()
+    assert (t.player_match_records, t.total_players, t.total_matches, t.total_goals, t.total_goal_contributions, t.highest_market_value_eur) == (3, 2, 2, 3, 6, 80_000_000)
+    assert {r.player_id: r.value_band for r in gold["value"].collect()} == {1: "Elite value", 2: "Lower value"}
+    doc = spark.createDataFrame([('{"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "temperature_2m": [1.0, 3.0], "relative_humidity_2m": [50, 61], "wind_speed_10m": [5.0, 6.0]}',)], "v string").select(F.from_json("v", "time array<string>, temperature_2m array<double>, relative_humidity_2m array<double>, wind_speed_10m array<double>").alias("hourly"))
+    w = sports.weather_daily(sports.weather_hours(doc)).first()
+    assert tuple(w) == (dt.date(2024, 1, 1), 2.0, 1.0, 3.0, 55.5, 5.5)
     trips = spark.range(1000).select("id", F.lit(1).alias("passenger_count"), F.lit(2.0).alias("fare_amount"))
     v = sports.taxi_variants(trips, key="id")
     assert sum(x.count() for x in v.values()) == 1000
@@ -166,13 +206,30 @@ def test_football_weather_taxi(spark):
 
 
 def test_retail(spark):
-    rows = spark.range(100).select(F.col("id").alias("_source_row_number"), F.col("id").cast("string").alias("InvoiceNo"), F.lit(" a1 ").alias("StockCode"), F.lit("d").alias("Description"), (F.col("id") + 1).cast("int").alias("Quantity"), F.lit("2011-01-01").cast("timestamp").alias("InvoiceDate"), F.lit(2.5).alias("UnitPrice"), F.lit("1").alias("CustomerID"), F.lit("UK").alias("Country"))
-    b = retail.controlled_batches(rows, sample=10)
-    assert len(b) == 7 and b["initial"].count() + b["incremental"].count() == 100 and b["scd_changes"].count() == 1
+    rows = spark.range(100).select(F.col("id").alias("_source_row_number"), F.col("id").cast("string").alias("InvoiceNo"), F.lit(" a1 ").alias("StockCode"), F.concat(F.lit("d"), F.col("id") % 3).alias("Description"), (F.col("id") + 1).cast("int").alias("Quantity"), F.lit("2011-01-01").cast("timestamp").alias("InvoiceDate"), F.lit(2.5).alias("UnitPrice"), F.lit("1").alias("CustomerID"), F.lit("UK").alias("Country"))
+    b = retail.controlled_batches(rows)
+    assert len(b) == 7 and b["initial"].count() + b["incremental"].count() == 100
+    assert {"SalesChannel", "PromotionCode"} <= set(b["evolved"].columns) and {r.PromotionCode for r in b["evolved"].collect()} <= {"WELCOME10", None}
+    assert {(r.UnitPrice, r.Country, r.Description) for r in b["invalid"].collect()} == {(-1.0, "", None)} and dict(b["schema_mismatch"].dtypes)["Quantity"] == "string"
+    assert tuple(b["scd_changes"].first())[1:4] == ("d0 - UPDATED", 2.63, dt.datetime(2012, 1, 1))
     snap = retail.product_snapshot(retail.silver_candidate(rows)).first()
     assert (snap.stock_code, snap.latest_observed_price) == ("A1", Decimal("2.5000"))
 
 
+def test_quarantine_store_bears_a_replay(spark, tmp_path):
+    from stratum.functions import quality
+    from stratum.operators.table import VersionedTable
+
+    t = VersionedTable(spark, f"file://{tmp_path}/q")
+    rows = spark.createDataFrame([(1, "v1", "x"), (2, "v1", "y")], "_bronze_record_id long, _quality_contract_version string, why string")
+    for _ in range(2):
+        quality.store_quarantine(t, rows)
+    quality.store_quarantine(t, rows.withColumn("_quality_contract_version", F.lit("v2")))
+    assert t.read().count() == 4 and t.read().select("_quarantine_record_id").distinct().count() == 4
+    with pytest.raises(ValueError, match="differ"):
+        quality.store_quarantine(t, rows.withColumn("more", F.lit(1)))
+
+
 def test_governance(spark):
     df = spark.createDataFrame([(1, "x", None), (2, "y", "s")], "k int, org string, secret string")
     m = spark.createDataFrame([("ann", "x"), ("bob", "*")], "user_name string, allowed_value string")
@@ -185,6 +242,12 @@ def test_governance(spark):
     spark.createDataFrame([(me, "y")], "user_name string, allowed_value string").createOrReplaceTempView("gov_map")
     governance.secure_view(spark, "gov_view", "gov_base", mapping="gov_map", column="org", masked=["secret"])
     assert [tuple(r) for r in spark.table("gov_view").collect()] == [(2, "y", "***MASKED***")]
+    plan = spark.table("gov_view")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    spark.createDataFrame([(me, "*")], "user_name string, allowed_value string").createOrReplaceTempView("gov_map")
+    assert spark.table("gov_view").count() == 2
+    governance.scalar_function(spark, "org_allowed", "org STRING", "EXISTS (SELECT 1 FROM gov_map m WHERE m.user_name = session_user() AND (m.allowed_value = org OR m.allowed_value = '*'))")
+    assert spark.sql("SELECT org_allowed('anything')").first()[0] is True
 
 
 def test_external(spark, tmp_path):
