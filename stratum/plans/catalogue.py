@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import domains, relational, workflows  # noqa: F401 - registers
+    from . import domains, layers, relational, workflows  # noqa: F401 - registers
 
     return dict(_QUERIES)
 
