@@ -229,7 +229,8 @@ def _found(source: DataFrame, rows: list, rivals: dict[int, list], words: int, c
     # Fewer hits than this hold no template of the class; a shingle may be hit repeatedly.
     least = {c: max(1, int(containment * min(len(r["want"]) for r in rows if r["c"] == c))) for c in wanted}
     known = spark.createDataFrame([(r["template"], r["license"], r["want"], r["bands"], rivals.get(r["template"], [])) for r in rows], "template int, license string, want array<long>, bands array<long>, rivals array<struct<own: array<long>, other: array<long>, slight: boolean>>", verifySchema=False)
-    known = known.withColumn("key", F.explode(F.array_distinct("bands")))
+    # Only keys are repeated; what belongs to a template is joined by its number.
+    keyed = known.select("template", F.explode(F.array_distinct("bands")).alias("key"))
 
     texts = source.select("doc_id", F.xxhash64("text").alias("digest"), _shingles(F.col("text"), words).alias("s"), F.col("text").alias("whole"))
     some = texts.withColumn("marks", _marks("s", wanted)).filter(F.exists("marks", lambda m: m != 0)).withColumn("n_words", F.size(_words(F.col("whole")))).drop("whole")
@@ -241,7 +242,7 @@ def _found(source: DataFrame, rows: list, rivals: dict[int, list], words: int, c
     windows = windows.select("doc_id", "digest", "c", "first", "n_words", F.array_distinct(F.slice("s", F.col("first") + 1, F.col("size"))).alias("have"))
     mine = windows.withColumn("mine", _bands("c", _minhash(F.col("have"))))
     # Bounded like the templates of a pass: 64 keys each.
-    met = mine.withColumn("key", F.explode(F.array_distinct("mine"))).join(F.broadcast(known), "key")
+    met = mine.withColumn("key", F.explode(F.array_distinct("mine"))).join(F.broadcast(keyed), "key").join(F.broadcast(known), "template")
     met = met.filter(F.get(F.filter("bands", lambda k: F.array_contains("mine", k)), 0) == F.col("key"))
     share = F.size(F.array_intersect("have", "want")) / F.size("want")
     kept = met.withColumn("containment", share).filter(F.col("containment") >= containment)
