@@ -20,6 +20,7 @@ one of them has.
 
 from __future__ import annotations
 
+import json
 import re
 from pathlib import Path
 
@@ -135,11 +136,26 @@ def _passes(numbered: list[tuple[int, str, str]]) -> list[tuple[int, list[tuple[
 def _marks(shingles: str, wanted: dict[int, set[int]]) -> Column:
     """For each shingle the classes with a template that has it, as bits.
 
-    As SQL text: a column for each of very many values would be slow to make.
+    The known shingles are a hash table of two constants, by bucket: the hashes
+    and their bits. As JSON each is one literal of the plan, which the optimiser
+    folds to an array; a literal for each shingle would swell the driver.
     """
-    known = lambda some: ",".join(f"{h}L" for h in sorted(some))
-    bits = " + ".join(f"IF(h IN ({known(w)}), {1 << c}, 0)" for c, w in sorted(wanted.items()))
-    return F.expr(f"transform({shingles}, h -> IF(h IN ({known(set().union(*wanted.values()))}), {bits}, 0))")
+    bits: dict[int, int] = {}
+    for c, some in wanted.items():
+        for h in some:
+            bits[h] = bits.get(h, 0) | 1 << c
+    size = 1 << max(len(bits) - 1, 1).bit_length()
+    table: list[list[int]] = [[] for _ in range(size)]
+    for h in sorted(bits):
+        table[h % size].append(h)
+    keys = F.from_json(F.lit(json.dumps(table)), "array<array<bigint>>")
+    values = F.from_json(F.lit(json.dumps([[bits[h] for h in b] for b in table])), "array<array<int>>")
+
+    def mark(h: Column) -> Column:
+        bucket = F.pmod(h, F.lit(size)).cast("int")
+        return F.coalesce(F.get(F.get(values, bucket), (F.array_position(F.get(keys, bucket), h) - 1).cast("int")), F.lit(0))
+
+    return F.transform(shingles, mark)
 
 
 def _rivals(rows: list) -> dict[int, list[tuple[list[int], list[int], bool]]]:
