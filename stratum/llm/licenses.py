@@ -152,8 +152,9 @@ def _marks(shingles: str, wanted: dict[int, set[int]]) -> Column:
     values = F.from_json(F.lit(json.dumps([[bits[h] for h in b] for b in table])), "array<array<int>>")
 
     def mark(h: Column) -> Column:
-        bucket = F.pmod(h, F.lit(size)).cast("int")
-        return F.coalesce(F.get(F.get(values, bucket), (F.array_position(F.get(keys, bucket), h) - 1).cast("int")), F.lit(0))
+        bucket = h.bitwiseAND(F.lit(size - 1)).cast("int")
+        known = F.get(keys, bucket)
+        return F.when(F.array_contains(known, h), F.get(F.get(values, bucket), (F.array_position(known, h) - 1).cast("int"))).otherwise(0)
 
     return F.transform(shingles, mark)
 
