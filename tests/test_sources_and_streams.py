@@ -166,11 +166,14 @@ def test_landing(base):
 def test_watermark_dedup_drops_late_rows(spark, base):
     rows = lambda *ts: [{"event_id": i, "at": t} for i, t in ts]
     q = None
-    for name, data in (("1", rows(("a", "2024-01-05T00:00:00Z"), ("a", "2024-01-05T00:00:00Z"))), ("2", rows(("b", "2024-01-10T00:00:00Z"))), ("3", rows(("c", "2024-01-01T00:00:00Z"), ("a", "2024-01-10T00:00:00Z")))):
-        drop(base / "in", f"{name}.json", data)
-        df = streams.file_stream(spark, f"file://{base}/in", "event_id string, at timestamp", max_files=1)
-        q = streams.append_to(streams.deduplicate(df, ["event_id"], event_time="at"), f"file://{base}/out", f"file://{base}/cp")
-    assert sorted(r.event_id for r in spark.read.parquet(f"file://{base}/out").collect()) == ["a", "b"]
+    steps = (("1", rows(("a", "2024-01-05T00:00:00Z"), ("a", "2024-01-05T00:00:00Z"))), ("2", rows(("b", "2024-01-10T00:00:00Z"))), ("3", rows(("c", "2024-01-01T00:00:00Z"), ("a", "2024-01-10T00:00:00Z"))))
+    # Unbounded, a key is remembered for ever; else until the watermark has passed it.
+    for bounded, want in ((False, ["a", "b"]), (True, ["a", "a", "b"])):
+        for name, data in steps:
+            drop(base / f"in{bounded}", f"{name}.json", data)
+            df = streams.file_stream(spark, f"file://{base}/in{bounded}", "event_id string, at timestamp", max_files=1)
+            q = streams.append_to(streams.deduplicate(df, ["event_id"], event_time="at", bounded=bounded), f"file://{base}/out{bounded}", f"file://{base}/cp{bounded}")
+        assert sorted(r.event_id for r in spark.read.parquet(f"file://{base}/out{bounded}").collect()) == want
     assert streams.progress_rows(spark, q, "dedup").count() >= 1
 
 
