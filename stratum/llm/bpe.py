@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -52,17 +52,17 @@ def _unsettled() -> tuple[regex.Pattern, object]:
 
 
 class _Memo(dict):
-    """Pieces to (ids, ids as text); two generations, so that what is in use stays."""
+    """Pieces to (ids, ids as text, ids decoded); two generations, so that what is in use stays."""
 
     def __init__(self, bpe: ByteBpe):
         super().__init__()
         self.bpe, self.old = bpe, {}
 
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
         known = self.old.get(piece)
         if known is None:
             ids = tuple(self.bpe.encode_piece(piece.encode()))
-            known = (ids, " ".join(map(str, ids)))
+            known = (ids, " ".join(map(str, ids)), self.bpe.decode(ids))
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
                 self.old = dict(self)
@@ -182,12 +182,12 @@ class ByteBpe:
                 pos -= sizes[last]
                 last = out[-1] if out else -1
 
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids and their decimal form, of every match of the pattern."""
+    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """Ids, their decimal form and what they decode to, of every match of the pattern."""
         return list(map(self.memo.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.pieces(text)))
+        return list(chain.from_iterable([x[0] for x in self.pieces(text)]))
 
     def forget(self) -> None:
         """Empty the memos, which outlive a task with the worker."""
@@ -195,7 +195,7 @@ class ByteBpe:
         self.memo.old = {}
         self.pairs.clear()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
@@ -224,10 +224,9 @@ def digest(docs: DataFrame, *, path: str, pattern: str, text: str = "text", doc_
             n, ids_hash, text_hash = [], [], []
             for t in batch.column(1):
                 found = bpe.pieces(t.as_py() or "")
-                ids = list(chain.from_iterable([x[0] for x in found]))
-                n.append(len(ids))
+                n.append(sum([len(x[0]) for x in found]))
                 ids_hash.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                text_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                text_hash.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.forget()
 
