@@ -10,16 +10,21 @@ do in one step. Object stores without such a rename are not safe for several
 writers.
 
 An entry holds the folders that a commit added; every tenth, and each that
-replaces the data, holds all of them.
+replaces rows, holds all of them. A merge, delete or type 2 change writes anew
+only the files with a row it may change: of a folder with such files, later
+versions list the other files one by one.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +50,7 @@ class Commit:
     timestamp_ms: int
     operation: str
     schema: str
+    #: Folders, and files of folders of which some files were replaced.
     folders: list[str]
     metrics: dict[str, int] = field(default_factory=dict)
     properties: dict[str, str] = field(default_factory=dict)
@@ -63,6 +69,9 @@ class Commit:
 CHECKPOINT = 10
 #: End of the name of a folder that holds partitions by column.
 _PARTITIONED = "-p"
+#: A file of the table in a path that Spark reports, and the column that tells it.
+_FILE = re.compile(rf"/(data-[0-9a-f]{{32}}(?:{_PARTITIONED})?/.*)$")
+_AT = "__file"
 
 
 class VersionedTable:
@@ -194,18 +203,43 @@ class VersionedTable:
     def schema(self, version: int | None = None) -> T.StructType:
         return self._schema(self.commit_of(version))
 
-    def _rows(self, commit: Commit, folders: list[str] | None = None) -> DataFrame:
-        """The rows of a commit's folders by its stored schema: one scan, or two if some
-        are partitioned. Columns that older files lack are null, narrower ones widened."""
+    def _rows(self, commit: Commit, folders: list[str] | None = None, *, located: bool = False) -> DataFrame:
+        """The rows of a commit's folders by its stored schema: one scan, and one more for each
+        partitioned folder. Columns that older files lack are null, narrower ones widened.
+        ``located`` adds the path of each row's file."""
         schema = self._schema(commit)
         stored = T.StructType([T.StructField(commit.physical.get(f.name, f.name), f.dataType) for f in schema])
-        out, every = None, commit.folders if folders is None else folders
-        for kind in (False, True):
-            some = [f"{self.path}/{f}" for f in every if f.endswith(_PARTITIONED) == kind]
-            if some:
-                part = self.spark.read.schema(stored).parquet(*some).select(*[F.col(f"`{p.name}`").alias(f.name) for p, f in zip(stored, schema, strict=True)])
-                out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+        out, scans = None, {}
+        for f in commit.folders if folders is None else folders:
+            top = f.split("/")[0]
+            scans.setdefault(top if top.endswith(_PARTITIONED) else None, []).append(f"{self.path}/{f}")
+        for top, paths in scans.items():
+            reader = self.spark.read.schema(stored)
+            if top:
+                reader = reader.option("basePath", f"{self.path}/{top}")
+            extra = [F.col("_metadata.file_path").alias(_AT)] if located else []
+            part = reader.parquet(*paths).select(*[F.col(f"`{p.name}`").alias(f.name) for p, f in zip(stored, schema, strict=True)], *extra)
+            out = part if out is None else out.unionByName(part)
+        if out is not None:
+            return out
+        none = [T.StructField(f.name, f.dataType) for f in schema] + [T.StructField(_AT, T.StringType())] * located
+        return self.spark.createDataFrame([], T.StructType(none))
+
+    def _files(self, entry: str) -> Iterator[tuple[str, object]]:
+        """(name within the table, status) of the data files of a folder or file."""
+        it = self._fs.listFiles(self._Path(f"{self.path}/{entry}"), True)
+        while it.hasNext():
+            s = it.next()
+            if s.getPath().getName().endswith(".parquet"):
+                yield _FILE.search(s.getPath().toString())[1], s
+
+    def _part(self, base: Commit, hit: DataFrame) -> tuple[list[str], list[str]]:
+        """(files that hold one of the located rows ``hit``, all else of the version)."""
+        found = {_FILE.search(unquote(r[0]))[1] for r in hit.select(_AT).distinct().collect()}
+        tops, rest = {f.split("/")[0] for f in found}, []
+        for f in base.folders:
+            rest += [f] if f.split("/")[0] not in tops else [name for name, _ in self._files(f) if name not in found]
+        return sorted(found), rest
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table as of a version, the latest by default."""
@@ -245,11 +279,8 @@ class VersionedTable:
         c = commit or self.commit_of()
         files = size = 0
         for folder in c.folders:
-            it = self._fs.listFiles(self._Path(f"{self.path}/{folder}"), True)
-            while it.hasNext():
-                s = it.next()
-                if s.getPath().getName().endswith(".parquet"):
-                    files, size = files + 1, size + s.getLen()
+            for _, s in self._files(folder):
+                files, size = files + 1, size + s.getLen()
         return {"location": self.path, "version": c.version, "numFiles": files, "sizeInBytes": size, "properties": c.properties, "clusteringColumns": [x for x in c.properties.get("clusterBy", "").split(",") if x]}
 
     # -- writing -----------------------------------------------------------
@@ -350,22 +381,28 @@ class VersionedTable:
         """Names in the files that belong to renamed or dropped columns."""
         return {v for k, v in commit.physical.items() if k != v} | set(commit.properties.get("droppedColumns", "").split(","))
 
-    def _replace(self, base: Commit, rows: DataFrame, operation: str, counted: dict[str, str], column: str) -> Commit:
-        """Commit rows that tell in ``column`` what happened to them; counts come
-        from the written files, so the plan runs once."""
+    def _replace(self, base: Commit, rest: list[str], rows: DataFrame, operation: str, counted: dict[str, str], column: str) -> Commit:
+        """Commit rows that tell in ``column`` what happened to them, beside the files
+        that stay; counts come from the written files, so the plan runs once."""
         data = self._check_nulls(rows, base.not_null)
         tagged = data.select(*[F.col(f"`{c}`").alias(base.physical.get(c, c)) for c in data.columns])
         folder = self._folder(tagged)
         written = self.spark.read.parquet(f"{self.path}/{folder}")
         got = {r[0]: r[1] for r in written.groupBy(column).count().collect()}
         metrics = {name: got.get(value, 0) for value, name in counted.items()} | {"numOutputRows": sum(got.values())}
-        return self._next(operation, base, schema=self._schema(base), folders=[folder], metrics=metrics)
+        return self._next(operation, base, schema=self._schema(base), folders=[*rest, folder], metrics=metrics)
 
     def merge(self, source: DataFrame, **how: object) -> Commit:
-        """Upsert by :func:`stratum.operators.change.upsert`, as one commit."""
-        base = self.commit_of()
-        rows = change.upsert(source, self._rows(base), **how)
-        return self._replace(base, rows, "MERGE", {change.INSERT: "numTargetRowsInserted", change.UPDATE: "numTargetRowsUpdated"}, "_change")
+        """Upsert by :func:`stratum.operators.change.upsert`, as one commit.
+
+        Files with a key of the source are written anew, the others stay. The
+        source is computed for its keys first and again for its rows, so its keys
+        must be the same each time.
+        """
+        base, keys = self.commit_of(), how["keys"]
+        found, rest = self._part(base, self._rows(base, located=True).join(source.select(*keys), keys, "left_semi"))
+        rows = change.upsert(source, self._rows(base, found), **how)
+        return self._replace(base, rest, rows, "MERGE", {change.INSERT: "numTargetRowsInserted", change.UPDATE: "numTargetRowsUpdated"}, "_change")
 
     def insert_new(self, source: DataFrame, keys: list[str]) -> Commit:
         """Append the rows whose key is new: replaying a load adds none."""
@@ -373,21 +410,29 @@ class VersionedTable:
         return self.append(change.insert_only(source, self._rows(base), keys=keys), base=base)
 
     def scd2(self, source: DataFrame, **how: object) -> dict[str, int]:
-        """Apply type 2 changes in one commit; {closed_rows, inserted_rows}."""
-        base = self.commit_of()
-        rows = change.scd2(source, self._rows(base), **how)
-        m = self._replace(base, rows, "MERGE", {"CLOSED": "numTargetRowsUpdated", "INSERTED": "numTargetRowsInserted"}, "_change").metrics
+        """Apply type 2 changes in one commit; {closed_rows, inserted_rows}.
+
+        Files with the current row of a key of the source are written anew.
+        """
+        base, key = self.commit_of(), how["key"]
+        found, rest = self._part(base, self._rows(base, located=True).filter("is_current").join(source.select(key), key, "left_semi"))
+        rows = change.scd2(source, self._rows(base, found), **how)
+        m = self._replace(base, rest, rows, "MERGE", {"CLOSED": "numTargetRowsUpdated", "INSERTED": "numTargetRowsInserted"}, "_change").metrics
         return {"closed_rows": m["numTargetRowsUpdated"], "inserted_rows": m["numTargetRowsInserted"]}
 
     def delete(self, predicate: str) -> Commit:
-        """Delete rows for which the predicate is true; null keeps a row."""
+        """Delete rows for which the predicate is true; null keeps a row.
+
+        Only files with such a row are written anew; numOutputRows counts their
+        other rows.
+        """
         base = self.commit_of()
-        now = self._rows(base)
-        keep = now.filter(~F.coalesce(F.expr(predicate), F.lit(False)))
-        before = now.count()
-        folder = self._folder(self._ours(keep, base))
+        gone = F.coalesce(F.expr(predicate), F.lit(False))
+        found, rest = self._part(base, self._rows(base, located=True).filter(gone))
+        old = self._rows(base, found)
+        folder = self._folder(self._ours(old.filter(~gone), base))
         after = self._stats(folder)
-        return self._next("DELETE", base, schema=self._schema(base), folders=[folder], metrics={"numDeletedRows": before - after, "numOutputRows": after})
+        return self._next("DELETE", base, schema=self._schema(base), folders=[*rest, folder], metrics={"numDeletedRows": old.count() - after, "numOutputRows": after})
 
     # -- schema ------------------------------------------------------------
     def rename_column(self, old: str, new: str) -> Commit:
@@ -440,21 +485,26 @@ class VersionedTable:
         return self._next("OPTIMIZE", base, schema=self._schema(base), folders=[folder], metrics={"numRemovedFiles": before, "numOutputRows": self._stats(folder)}, properties=props)
 
     def vacuum(self, *, retain_hours: float = 168, dry_run: bool = True, enforce: bool = True) -> list[str]:
-        """Folders that no version of the retention time needs; deleted unless dry."""
+        """Folders, and files of folders, that no version of the retention time
+        needs; deleted unless dry."""
         if enforce and retain_hours < 168:
             raise ValueError("retention below 168 hours")
         now, have = time.time() * 1000, self.versions()
         since = now - retain_hours * 3_600_000
         commits = [self.commit_of(v) for v in have]
         live = {f for i, c in enumerate(commits) if i == len(commits) - 1 or commits[i + 1].timestamp_ms >= since for f in [*c.folders, *c.ledger]}
+        partly = {f.split("/")[0] for f in live} - live
         gone = []
         for s in self._fs.listStatus(self._Path(self.path)):
             name = s.getPath().getName()
-            if name.startswith(("data-", "ledger-")) and name not in live and s.getModificationTime() <= since:
-                gone.append(name)
-                if not dry_run:
-                    self._fs.delete(s.getPath(), True)
-        return sorted(gone)
+            if name in partly:
+                gone += [(f, x.getPath()) for f, x in self._files(name) if f not in live and x.getModificationTime() <= since]
+            elif name.startswith(("data-", "ledger-")) and name not in live and s.getModificationTime() <= since:
+                gone.append((name, s.getPath()))
+        if not dry_run:
+            for name, path in gone:
+                self._fs.delete(path, True)
+        return sorted(name for name, _ in gone)
 
 
 def merged_schema(old: T.StructType, new: T.StructType) -> T.StructType:
