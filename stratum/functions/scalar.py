@@ -59,3 +59,17 @@ def fingerprint(df: DataFrame) -> Column:
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Null counts of all columns in one pass."""
     return df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns or df.columns])
+
+
+def with_distinct_counts(rows: DataFrame, df: DataFrame, keys: list[str], counts: dict[str, str]) -> DataFrame:
+    """``rows`` (one for each group of ``keys``) with distinct counts of ``df``'s columns.
+
+    Several of them in one aggregate copy every row once for each; an aggregate
+    of its own reads two columns and reduces them before the shuffle. ``df`` is
+    read once for each count, so it should be a stored table.
+    """
+    for name, column in counts.items():
+        per = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.countDistinct(column).alias(name))
+        same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+        rows = rows.join(per, same, "left").drop(*[f"_key_{k}" for k in keys])
+    return rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.functions.scalar import guarded_ratio, iso_weekday
+from stratum.functions.scalar import guarded_ratio, iso_weekday, with_distinct_counts
 
 MONEY = "decimal(18,2)"
 #: Bytes of a dimension's lookup side up to which it is broadcast.
@@ -185,11 +185,9 @@ def _sum(name: str) -> Column:
 def daily_encounters(fact: DataFrame) -> DataFrame:
     """One row per day, with the share of emergencies."""
     emergencies = F.count_if(F.lower("encounter_class") == "emergency")
-    return fact.groupBy("date_key", "encounter_date").agg(
+    rows = fact.groupBy("date_key", "encounter_date").agg(
         F.count("*").alias("encounter_count"),
         F.countDistinct("patient_key").alias("unique_patients"),
-        F.countDistinct("organization_key").alias("organizations_active"),
-        F.countDistinct("provider_key").alias("providers_active"),
         F.round(F.avg("duration_minutes"), 2).alias("avg_duration_minutes"),
         _sum("base_encounter_cost"),
         _sum("total_claim_cost"),
@@ -198,13 +196,13 @@ def daily_encounters(fact: DataFrame) -> DataFrame:
         emergencies.alias("emergency_encounters"),
         F.round(emergencies / F.count("*") * 100.0, 2).alias("emergency_encounter_pct"),
     )
+    return with_distinct_counts(rows, fact, ["date_key", "encounter_date"], {"organizations_active": "organization_key", "providers_active": "provider_key"})
 
 
 def organization_performance(fact: DataFrame, dim: DataFrame) -> DataFrame:
     rows = fact.groupBy("organization_key").agg(
         F.count("*").alias("encounter_count"),
         F.countDistinct("patient_key").alias("unique_patients"),
-        F.countDistinct("provider_key").alias("unique_providers"),
         F.round(F.avg("duration_minutes"), 2).alias("avg_duration_minutes"),
         _sum("total_claim_cost"),
         F.round(F.avg("total_claim_cost"), 2).alias("avg_claim_cost"),
@@ -213,6 +211,7 @@ def organization_performance(fact: DataFrame, dim: DataFrame) -> DataFrame:
         F.min("encounter_date").alias("first_encounter_date"),
         F.max("encounter_date").alias("last_encounter_date"),
     )
+    rows = with_distinct_counts(rows, fact, ["organization_key"], {"unique_providers": "provider_key"})
     return rows.join(lookup(dim.select("organization_key", "organization_id", "organization_name", "city", "state")), "organization_key", "left")
 
 

@@ -155,7 +155,9 @@ def agg_daily_orders(spark: SparkSession, d: str) -> DataFrame:
   CAST(min(l_shipdate) AS DATE) AS first_ship_date, CAST(max(l_shipdate) AS DATE) AS last_ship_date FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"""
 )
 def agg_supplier_performance(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("line_count"), F.countDistinct("l_orderkey").alias("order_count"), F.countDistinct("l_partkey").alias("part_count"), F.sum(money("l_extendedprice")).cast("double").alias("revenue"), F.to_date(F.min("l_shipdate")).alias("first_ship_date"), F.to_date(F.max("l_shipdate")).alias("last_ship_date"))
+    lines = table(spark, d, "lineitem")
+    rows = lines.groupBy("l_suppkey").agg(F.count("*").alias("line_count"), F.countDistinct("l_orderkey").alias("order_count"), F.sum(money("l_extendedprice")).cast("double").alias("revenue"), F.to_date(F.min("l_shipdate")).alias("first_ship_date"), F.to_date(F.max("l_shipdate")).alias("last_ship_date"))
+    rows = scalar.with_distinct_counts(rows, lines, ["l_suppkey"], {"part_count": "l_partkey"})
     return rows.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left")
 
 
@@ -177,7 +179,9 @@ def agg_part_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
 def multi_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_orderkey").alias("orders"), F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"))
+    lines = table(spark, d, "lineitem")
+    rows = lines.groupBy("l_returnflag").agg(F.countDistinct("l_orderkey").alias("orders"))
+    return scalar.with_distinct_counts(rows, lines, ["l_returnflag"], {"parts": "l_partkey", "suppliers": "l_suppkey"})
 
 
 @query("SELECT event_type, count(*) FILTER (WHERE value > 50) AS above, count(CASE WHEN value <= 50 THEN 1 END) AS up_to, CAST(sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS even_users FROM events GROUP BY 1")

@@ -272,3 +272,12 @@ def test_settings():
     with pytest.raises(ValueError, match="b"):
         required({"a": "x", "b": " "}, "a", "b")
     assert EngineConfig("/r", "s").path("gold", "t") == "/r/gold/t"
+
+
+def test_distinct_counts_beside_other_aggregates(spark):
+    from stratum.functions.scalar import with_distinct_counts
+
+    df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, None, 2), (None, "b", 3), (None, "c", 3), (2, None, None)], "k int, x string, y int")
+    got = with_distinct_counts(df.groupBy("k").count(), df, ["k"], {"xs": "x", "ys": "y"})
+    assert {tuple(r) for r in got.collect()} == {(1, 3, 1, 2), (None, 2, 2, 1), (2, 1, 0, 0)}
+    assert with_distinct_counts(df.limit(0).groupBy("k").count(), df.limit(0), ["k"], {"xs": "x"}).count() == 0
