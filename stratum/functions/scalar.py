@@ -11,6 +11,16 @@ def guarded_ratio(top: Column, bottom: Column, *, default: float | None = None)
     return F.when(bottom != 0, top / bottom).otherwise(F.lit(default).cast("double"))
 
 
+def round_scaled(value: Column, digits: int) -> Column:
+    """A double rounded as DuckDB's ``round`` does: times 10**digits, half away from zero, divided again.
+
+    Spark's ``round`` takes the shortest decimal text instead: 4.145 gives 4.15
+    there and 4.14 here, as 4.145 * 100 is 414.49999999999994.
+    """
+    scaled = value * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / F.lit(10.0**digits)).otherwise(value)
+
+
 def bands(value: Column, limits: list[tuple[float, str]], top: str, *, null: str | None = None) -> Column:
     """The label of the first half-open band ``value < limit``; ``top`` above all."""
     out = F.when(value.isNull(), F.lit(null)) if null is not None else None

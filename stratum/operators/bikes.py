@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.functions.scalar import bands, guarded_ratio
+from stratum.functions.scalar import bands, guarded_ratio, round_scaled
 
 #: Schemas of the feeds.
 _STATION = (
@@ -39,7 +39,7 @@ def information(documents: DataFrame) -> DataFrame:
 
 
 def _pct(part: str) -> Column:
-    return F.round(guarded_ratio(F.col(part), F.when(F.col("capacity") > 0, F.col("capacity"))) * 100, 2)
+    return round_scaled(guarded_ratio(F.col(part), F.when(F.col("capacity") > 0, F.col("capacity"))) * 100, 2)
 
 
 def enriched(statuses: DataFrame, stations: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def enriched(statuses: DataFrame, stations: DataFrame) -> DataFrame:
 
 def summary(rows: DataFrame) -> DataFrame:
     """One row per station. Utilisation follows from the rounded average."""
-    avg = lambda c, n: F.round(F.avg(c), 2).alias(n)
+    avg = lambda c, n: round_scaled(F.avg(c), 2).alias(n)
     out = rows.groupBy("station_id", "station_name", "short_name", "latitude", "longitude", "region_id", "capacity").agg(
         F.count("*").alias("observation_count"),
         F.min("last_reported_at").alias("first_reported_at"),
@@ -69,7 +69,7 @@ def summary(rows: DataFrame) -> DataFrame:
         F.count_if(~F.col("is_returning")).alias("not_returning_observations"),
         F.count_if(~F.col("station_reference_matched")).alias("unmatched_reference_observations"),
     )
-    used = F.when(F.col("capacity") > 0, F.round(F.col("avg_bikes_available") / F.col("capacity") * 100, 2))
+    used = F.when(F.col("capacity") > 0, round_scaled(F.col("avg_bikes_available") / F.col("capacity") * 100, 2))
     band = bands(F.col("avg_bike_availability_pct"), [(10, "VERY_LOW"), (30, "LOW"), (70, "BALANCED"), (90, "HIGH")], "VERY_HIGH", null="UNKNOWN")
     return out.withColumns({"avg_station_utilization_pct": used, "availability_band": band})
 

@@ -1,11 +1,14 @@
 import datetime as dt
 from decimal import Decimal
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stratum.functions.scalar import round_scaled
 from stratum.operators import bikes, crypto, events, external, governance, retail, sports, star
-from stratum.plans import metrics
+from stratum.plans import catalogue, metrics
 from stratum.plans.pipeline import Pipeline
 from stratum.session import EngineConfig, parse_bool, quote_ident, quote_lit, required, safe_ident
 
@@ -127,6 +130,30 @@ def test_bikes(spark):
     assert bikes.source_profile(status).first().row_count == 2
 
 
+def test_bike_summary_rounds_ties_as_its_sql(spark, tmp_path):
+    """829 / 200 is 4.145 and 3.83 / 40 * 100 is 9.575: both are just below the tie once multiplied by 100."""
+    line = lambda station, n, rows: f"SELECT CAST({station} AS BIGINT) AS l_suppkey, CAST({n} AS INTEGER) AS l_linenumber, 1.0::DOUBLE AS l_quantity, 'N' AS l_returnflag, TIMESTAMP '2024-01-01' AS l_shipdate FROM range({rows})"
+    con = duckdb.connect()
+    con.sql("CREATE TABLE lineitem AS " + " UNION ALL ".join([line(403, 5, 29), line(403, 4, 171), line(442, 4, 83), line(442, 3, 17)]))
+    con.sql("CREATE TABLE supplier AS SELECT CAST(i AS BIGINT) AS s_suppkey, 's' || i AS s_name FROM (VALUES (403), (442)) v(i)")
+    for name in ("lineitem", "supplier"):
+        con.sql(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    got = catalogue.queries()["bike_station_summary"](spark, str(tmp_path))
+    want = con.sql(catalogue.oracle_sql()["bike_station_summary"])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_round_scaled(spark):
+    values = [None, 0.0, -0.0, 1.005, -1.005, 2.675, 0.125, -0.125, 0.005, 4.145, 9.575, 1e20, 1e307, float("inf"), 0.49999999999999994, 45035996273704.955] + [i / 1000 for i in range(-3000, 3000)]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", *[round_scaled(F.col("v"), n).alias(f"r{n}") for n in (0, 2, 3)]).orderBy("i").collect()
+    con = duckdb.connect()
+    con.register("t", pa.table({"i": range(len(values)), "v": pa.array(values, pa.float64())}))
+    assert [tuple(r) for r in got] == con.sql("SELECT i, round(v, 0), round(v, 2), round(v, 3) FROM t ORDER BY i").fetchall()
+    nan = spark.range(1).select(round_scaled(F.lit(float("nan")), 2)).first()[0]
+    assert nan != nan
+
+
 #: A message as the feed sends it.
 MESSAGE = {
     "$schema": "/mediawiki/recentchange/1.0.0",
