@@ -186,8 +186,12 @@ def scd1_invariants(dimension: DataFrame, key: str) -> DataFrame:
 
 
 def scd2_invariants(dimension: DataFrame, key: str) -> DataFrame:
-    """One row of violation counts; an open row that is superseded counts as a gap."""
-    w = Window.partitionBy(key).orderBy("version_number")
+    """One row of violation counts; an open row that is superseded counts as a gap.
+
+    Versions of the same number follow each other by their intervals, an open
+    one last, so that the counts do not depend on the order of the rows.
+    """
+    w = Window.partitionBy(key).orderBy("version_number", "effective_from", F.col("effective_to").asc_nulls_last())
     rows = dimension.withColumn("_next", F.lead("effective_from").over(w)).withColumn("_prior", F.lag("version_number").over(w))
     per = rows.groupBy(key).agg(
         F.count_if("is_current").alias("current"),

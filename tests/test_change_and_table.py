@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,16 @@ def test_scd2_invariants_see_a_superseded_open_row(spark):
     assert got.interval_gaps == 1 and got.keys_without_one_current == 1
 
 
+def test_scd2_invariants_do_not_depend_on_the_order_of_rows(spark):
+    """Repeated version numbers: closed and then open, and two of one start."""
+    row = lambda key, version, start, end: (key, version, start, end, end is None)
+    rows = [row("a", 1, 1, 2), row("a", 1, 2, None), row("b", 1, 1, 3), row("b", 1, 1, None), row("b", 2, 3, None), row("c", 1, 1, 2), row("c", 2, 2, None)]
+    want = {"keys_without_one_current": 1, "keys_with_repeated_versions": 2, "interval_gaps": 2, "backward_intervals": 0, "open_end_mismatches": 0, "version_skips": 2}
+    for given in itertools.chain([rows, rows[::-1]], (rows[i:] + rows[:i] for i in range(1, len(rows)))):
+        df = spark.createDataFrame(given, "k string, version_number int, effective_from int, effective_to int, is_current boolean").coalesce(1)
+        assert change.scd2_invariants(df, "k").first().asDict() == want
+
+
 def test_scd1_keeps_created_at(spark):
     stamp = {c: F.lit("2024-01-01").cast("timestamp") for c in ("created_at", "updated_at")}
     got = change.scd1(products(spark, CHANGED), products(spark, BASE).withColumns(stamp), key="stock_code", mutable=["description", "unit_price"], hash_column="_record_hash", at="2024-02-01")
